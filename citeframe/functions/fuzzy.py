@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+
 from . import constants as K
 
 _TOKEN = re.compile(K.TOKEN)
@@ -47,16 +49,32 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    m, best = len(short), 0.0
-    known = set(short)
-    for start in range(1 - m, len(long)):
-        part = long[max(0, start) : start + m]
-        edge = part[0] if start < 0 else part[-1]
-        inner = part[-1] if start < 0 else part[0]
-        if (edge not in known and inner not in known) or 200.0 * min(m, len(part)) / (m + len(part)) <= best:
-            continue
-        best = max(best, ratio(short, part))
-    return best
+    m, n = len(short), len(long)
+    letters = {c: i + 1 for i, c in enumerate(dict.fromkeys(short))}
+    width = -(-m // 64)
+    masks = np.zeros((width, len(letters) + 1), np.uint64)  # column 0: no place in the shorter string
+    for i, c in enumerate(short):
+        masks[i // 64, letters[c]] |= np.uint64(1 << i % 64)
+    text = np.zeros(n + 2 * (m - 1), np.int64)
+    text[m - 1 : m - 1 + n] = [letters.get(c, 0) for c in long]
+    lanes = n + m - 1  # one for each stretch
+    v = np.full((width, lanes), np.uint64(2**64 - 1))
+    for j in range(m):
+        at = text[j : j + lanes]
+        carry = np.zeros(lanes, np.uint64)
+        for w in range(width):
+            met = masks[w][at]
+            u = v[w] & met
+            part = v[w] + u
+            total = part + carry
+            carry = ((part < u) | (total < part)).astype(np.uint64)
+            v[w] = total | (v[w] & ~met)
+    tail = np.uint64((1 << (m - 64 * (width - 1))) - 1) if m % 64 else np.uint64(2**64 - 1)
+    v[-1] &= tail
+    common = m - sum(np.bitwise_count(v[w]).astype(np.int64) - (64 if w < width - 1 else 0) for w in range(width)) - 64 * (width - 1)
+    start = np.arange(lanes) - (m - 1)
+    size = np.minimum(start + m, n) - np.maximum(start, 0)
+    return float((200.0 * common / (m + size)).max())
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -95,18 +113,31 @@ class Claim:
         self.form = compare_form(text)
         self.numbers = numbers(text)
 
-    def support(self, evidence: str) -> float:
-        """0.6 of weighted term coverage and 0.4 of fuzzy likeness, scaled down by missing numbers; 0 without content terms."""
+    def plain(self, evidence: str) -> tuple[float, float]:
+        """Weighted term coverage and the factor for missing numbers; (0, 0) without content terms."""
         there = set(content_terms(evidence))
         if not self.terms or not there:
+            return 0.0, 0.0
+        factor = 1.0
+        if self.numbers:
+            factor = 0.45 + 0.55 * len(self.numbers & numbers(evidence)) / len(self.numbers)
+        return sum(w for t, w in self.terms.items() if t in there) / self.total, factor
+
+    def bound(self, evidence: str) -> float:
+        """What ``support`` cannot exceed, without any fuzzy matching."""
+        coverage, factor = self.plain(evidence)
+        return round(min(1.0, (0.6 * coverage + 0.4) * factor), 4)
+
+    def support(self, evidence: str) -> float:
+        """0.6 of weighted term coverage and 0.4 of fuzzy likeness, scaled down by missing numbers; 0 without content terms."""
+        coverage, factor = self.plain(evidence)
+        if not factor:
             return 0.0
-        coverage = sum(w for t, w in self.terms.items() if t in there) / self.total
         other = compare_form(evidence)
-        fuzzy = max(token_set_ratio(self.form, other), partial_ratio(self.form, other)) / 100
-        score = 0.6 * coverage + 0.4 * fuzzy
-        if self.numbers:
-            score *= 0.45 + 0.55 * len(self.numbers & numbers(evidence)) / len(self.numbers)
-        return round(min(1.0, score), 4)
+        fuzzy = token_set_ratio(self.form, other)
+        if fuzzy < 100:
+            fuzzy = max(fuzzy, partial_ratio(self.form, other))
+        return round(min(1.0, (0.6 * coverage + 0.4 * fuzzy / 100) * factor), 4)
 
 
 def best_window(claim: str, lines: list[str], most: int = 14, patience: int = 2) -> tuple[float, int, int]:
@@ -114,10 +145,16 @@ def best_window(claim: str, lines: list[str], most: int = 14, patience: int = 2)
     if not lines:
         return 0.0, -1, -1
     judge = Claim(claim)
-    alone = [judge.support(line) for line in lines]
-    lo = hi = max(range(len(lines)), key=lambda i: (alone[i], -i))
-    best, idle = (alone[lo], lo, hi), 0
-    while hi - lo + 1 < min(most, len(lines)) and idle <= patience:
+    best = (-1.0, 0, 0)
+    for most_possible, i in sorted(((judge.bound(line), i) for i, line in enumerate(lines)), key=lambda x: (-x[0], x[1])):
+        if most_possible < best[0]:
+            break
+        score = judge.support(lines[i])
+        if (score, -i) > (best[0], -best[1]):
+            best = (score, i, i)
+    lo = hi = best[1]
+    idle = 0
+    while hi - lo + 1 < min(most, len(lines)) and idle <= patience and best[0] < 1:
         steps = [(a, b) for a, b in ((lo - 1, hi), (lo, hi + 1)) if a >= 0 and b < len(lines)]
         scored = [(judge.support(" ".join(lines[a : b + 1])), a, b) for a, b in steps]
         top = max(s for s, _, _ in scored)

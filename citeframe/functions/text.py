@@ -43,9 +43,9 @@ def is_heading(text: Column) -> Column:
     """A short shouted line, or one that begins with a structural word, that does not end like a clause."""
     line = F.trim(text)
     body = F.trim(F.regexp_replace(line, r"^(?:[0-9]+(?:\.[0-9]+)*|[IVXLC]+)[.)]?\s+", ""))
-    shouted = (F.upper(body) == body) & body.rlike(r"\p{Lu}")
+    shouted = ~body.rlike(r"\p{Ll}") & body.rlike(r"\p{Lu}")
     clause_end = body.rlike("[.;,:]$") & ~shouted
-    structural = F.upper(body).rlike("^(?:" + "|".join(K.HEADING_WORDS) + ")")
+    structural = body.rlike("(?i)^(?:" + "|".join(K.HEADING_WORDS) + ")")
     fits = F.length(line).between(3, 120) & F.length(body).between(1, 90)
     return F.coalesce(fits & ~clause_end & (structural | (caps_ratio(body) >= 0.6)), F.lit(False))
 
@@ -127,7 +127,7 @@ def topic_name(raw: Column) -> Column:
     prefix = r"(?i)^(?:(?:SECTION|CLAUSE|UNIT|MODULE|CHAPTER|PART|ARTICLE|SCHEDULE|ANNEXURE)\s+)?[A-Z0-9]+(?:\.\d+)*\s*[-–—.)]\s*"
     short = F.trim(F.regexp_replace(clean, prefix, ""))
     name = F.when(short != "", short).otherwise(clean)
-    return F.when((F.upper(name) == name) & name.rlike(r"\p{Lu}"), F.initcap(F.lower(name))).otherwise(name)
+    return F.when(~name.rlike(r"\p{Ll}") & name.rlike(r"\p{Lu}"), F.initcap(F.lower(name))).otherwise(name)
 
 
 def strip_leading_noise(text: Column) -> Column:

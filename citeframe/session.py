@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -31,3 +33,22 @@ def workers_find_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeframe-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        place = current.get()
+    return place.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back: later steps start from a short plan with known sizes, and a lost executor costs a reread."""
+    path = f"{shared_folder(df.sparkSession)}/citeframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeframe import oracle
+from citeframe.oracle import LITERAL_ANSWERS, LITERAL_QUESTIONS
 from citeframe.functions import text as X
 from citeframe.operators import answer as A
 from citeframe.operators import evaluate as E
@@ -26,29 +27,6 @@ from citeframe.streaming.ingest import windowed_counts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-LITERAL_QUESTIONS = [
-    "What is the monthly rent for the flat?",
-    "rent rent deposit",
-    "define bcnf",
-    "Who must pay the maintenance charges?",
-    "What does ACID mean?",
-    "When is the notice period over?",
-    "How much is the security deposit?",
-    "Summarise this document",
-    "What topics are covered?",
-    "explain this pdf",
-    "list the sections",
-    "can the tenant terminate the lease",
-    "   ",
-]
-LITERAL_ANSWERS = [
-    "The rent is Rs. 48,500. [S2] It is due monthly [1, 3]. See [S9].",
-    "No markers here. Only text.",
-    "Deposit of 2,91,000 [S1; S2] is kept [S1/2]. Repaint costs 22,000 [s3].",
-    "Nothing",
-]
-
-
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         workers_find_package(spark)

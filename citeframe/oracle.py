@@ -5,6 +5,30 @@ from __future__ import annotations
 from citeframe.functions import constants as K
 
 
+#: Questions and answers that the tables have none of.
+LITERAL_QUESTIONS = [
+    "What is the monthly rent for the flat?",
+    "rent rent deposit",
+    "define bcnf",
+    "Who must pay the maintenance charges?",
+    "What does ACID mean?",
+    "When is the notice period over?",
+    "How much is the security deposit?",
+    "Summarise this document",
+    "What topics are covered?",
+    "explain this pdf",
+    "list the sections",
+    "can the tenant terminate the lease",
+    "   ",
+]
+LITERAL_ANSWERS = [
+    "The rent is Rs. 48,500. [S2] It is due monthly [1, 3]. See [S9].",
+    "No markers here. Only text.",
+    "Deposit of 2,91,000 [S1; S2] is kept [S1/2]. Repaint costs 22,000 [s3].",
+    "Nothing",
+]
+
+
 def _in(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + ")"
 
@@ -255,7 +279,6 @@ distractors AS (SELECT kind, answer, rank, value FROM (SELECT a.kind, a.answer,
 _CLEAN = "trim(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '^[ \\-–—:.]+|[ \\-–—:.]+$', '', 'g'))"
 _SHORT = "trim(regexp_replace({c}, '(?i)^(?:(?:SECTION|CLAUSE|UNIT|MODULE|CHAPTER|PART|ARTICLE|SCHEDULE|ANNEXURE)\\s+)?[A-Z0-9]+(?:\\.[0-9]+)*\\s*[-–—.)]\\s*', ''))"
 
-_P = "word_terms"
 KEY_TERMS = f"""
 kt AS (SELECT doc_id, list_filter({_tok("text")}, lambda t: t NOT IN {_in(K.TOPIC_STOP + K.TOPIC_GENERIC)} AND length(t) > 3) AS t FROM documents),
 kp AS (SELECT doc_id, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM kt),
@@ -266,11 +289,65 @@ SHORT = f"""{SENTENCES},
 defined AS (SELECT doc_id, sentence_no, sentence, CASE {" ".join(f"WHEN regexp_matches(sentence, '{_sql(p)}') THEN '{form.split('{}')[0]}' || regexp_replace(trim(regexp_extract(sentence, '{_sql(p)}', 1)), ',+$', '') || '{form.split('{}')[1]}'" for p, form in K.DEFINITIONS)} END AS question FROM sents WHERE {_words("sentence")} >= 8),
 asked_short AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_no) AS n FROM defined WHERE question IS NOT NULL)"""
 
-REL = "list_slice(relevance, 1, {k})"
 _MEAN = "round(coalesce(avg(CASE WHEN {w} THEN {v} END), 0), 4)"
 _INSIDE = "category <> 'out_of_corpus' AND len(relevance) > 0"
 _HIT = "(CASE WHEN list_contains(list_slice(relevance, 1, {k}), true) THEN 1.0 ELSE 0.0 END)::DOUBLE"
 
+
+def _once(x: str) -> str:
+    """The list of column ``x`` without repetitions, in order."""
+    return f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
+
+
+def _name(x: str) -> str:
+    """The readable name of a heading column; a chain of CTE columns would be longer."""
+    clean = _CLEAN.format(x=x)
+    short = _SHORT.format(c=clean)
+    name = f"(CASE WHEN {short} <> '' THEN {short} ELSE {clean} END)"
+    title = f"array_to_string(list_transform(string_split(lower({name}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+    return f"CASE WHEN NOT regexp_matches({name}, '\\p{{Ll}}') AND regexp_matches({name}, '\\p{{Lu}}') THEN {title} ELSE {name} END"
+
+
+def _values(texts: list[str], sign: int = 1) -> str:
+    return ", ".join(f"({i if sign > 0 else -1 - i}, '{_sql(t)}')" for i, t in enumerate(texts))
+
+
+_DECLARED = " ".join(f"WHEN regexp_matches(lower(base), '{_sql(p)}') THEN trim('{to.split('{}')[0]}' || regexp_extract(lower(base), '{_sql(p)}', 1) || '{to.split('{}')[1]}')" for p, to in K.DECLARATIVE)
+VARIANTS = f"""
+v_clean AS (SELECT query_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS c FROM v_in),
+v_base AS (SELECT query_id, CASE WHEN trim(regexp_replace(c, '[?!.,;: ]+$', '')) <> '' THEN trim(regexp_replace(c, '[?!.,;: ]+$', '')) ELSE c END AS base FROM v_clean),
+v_tok AS (SELECT query_id, base, {_tok("base")} AS t, list_filter({_tok("base")}, lambda t: t NOT IN {_in(K.QUERY_STOP + K.QUESTION_WORDS)} AND length(t) > 1) AS k FROM v_base),
+synonyms(term, nth, synonym) AS (VALUES {", ".join(f"('{k}', {i}, '{w}')" for k, v in K.SYNONYMS.items() for i, w in enumerate(v))}),
+v_syn AS (SELECT query_id, string_agg(synonym, ' ' ORDER BY p, nth) AS syn FROM (SELECT query_id, synonym, p, nth, row_number() OVER (PARTITION BY query_id, synonym ORDER BY p, nth) AS n
+  FROM (SELECT query_id, generate_subscripts(t, 1) AS p, unnest(t) AS term FROM v_tok) JOIN synonyms USING (term)) WHERE n = 1 GROUP BY query_id),
+v_forms AS (SELECT query_id, list_filter([base, array_to_string({_once("k")}, ' '), CASE {_DECLARED} ELSE '' END, CASE WHEN syn IS NOT NULL THEN base || ' ' || syn ELSE '' END], lambda x: x <> '') AS f FROM v_tok LEFT JOIN v_syn USING (query_id) WHERE base <> ''),
+v_once AS (SELECT query_id, list_slice({_once("f")}, 1, {K.MAX_VARIANTS}) AS f FROM v_forms),
+variants AS (SELECT query_id, CAST(generate_subscripts(f, 1) AS INTEGER) AS variant_no, unnest(f) AS text FROM v_once)"""
+
+MERGED = f"""{QUESTIONS.replace("questions AS", "v_in0 AS")}, v_in AS (SELECT query_id, question AS text FROM v_in0), {VARIANTS},
+questions AS (SELECT query_id * 10 + variant_no AS query_id, text AS question FROM variants), {UNITS}, {BM25}, {COSINE}, {FUSED},
+merged AS (SELECT query_id // 10 AS query_id, unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused, max(dense_score) AS dense_score, arg_max(dense_rank, {{'s': dense_score, 'v': -(query_id % 10)}}) FILTER (WHERE dense_score IS NOT NULL) AS dense_rank,
+  max(lexical_score) AS lexical_score, arg_max(lexical_rank, {{'s': lexical_score, 'v': -(query_id % 10)}}) FILTER (WHERE lexical_score IS NOT NULL) AS lexical_rank, min(query_id % 10 * 1000 + rank) AS first FROM fused GROUP BY query_id // 10, unit_id)"""
+
+TOPICS = f"""{CHUNKS}, {CHUNK_TEXTS},
+t_rows AS (SELECT doc_id, page_no, section, {_words("text")} AS words, max(CASE WHEN section <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS sectioned FROM chunk_texts),
+t_names AS (SELECT doc_id, page_no, words, CASE WHEN sectioned = 0 THEN 'Pages ' || page_no WHEN section = '' THEN 'Introduction' ELSE {_name("section")} END AS name FROM t_rows),
+t_groups AS (SELECT doc_id, name, min(page_no) AS page_start, max(page_no) AS page_end, count(*) AS n_chunks, sum(words) AS word_count FROM t_names GROUP BY doc_id, name),
+t_rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_start, name) AS rn FROM t_groups),
+t_isl AS (SELECT *, sum(CASE WHEN rn = 1 OR word_count >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rn) AS island FROM t_rn),
+t_merged AS (SELECT doc_id, island, arg_min(name, rn) AS name, min(page_start) AS page_start, max(page_end) AS page_end, CAST(sum(n_chunks) AS BIGINT) AS n_chunks, CAST(sum(word_count) AS BIGINT) AS word_count FROM t_isl GROUP BY doc_id, island HAVING sum(word_count) >= 12),
+topics AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS topic_no, name, page_start, page_end, n_chunks, word_count, 'p.' || page_start || CASE WHEN page_start = page_end THEN '' ELSE '-' || page_end END AS label FROM t_merged)"""
+
+_M = r"\[\s*[Ss]?\s*(\d+(?:\s*[,;/]\s*[Ss]?\s*\d+)*)\s*\]"
+_G = r"(?:\[\s*[Ss]?\s*\d+(?:\s*[,;/]\s*[Ss]?\s*\d+)*\s*\]\s*)+"
+_KEPT = "array_to_string(list_transform(list_filter(regexp_extract_all(g, '[0-9]+'), lambda n: n::INTEGER BETWEEN 1 AND 3), lambda n: '[S' || n::INTEGER || ']'), '')"
+MARKERS = f"""SELECT id, array_to_string({_once("nums")}, ',') AS numbers, trim(regexp_replace(regexp_replace(text, '{_M}', '', 'g'), '\\s{{2,}}', ' ', 'g')) AS plain,
+  rtrim(regexp_replace(regexp_replace(text, '([.!?])\\s*({_G})', ' \\2\\1 ', 'g'), '\\]\\s+([.!?])', ']\\1', 'g')) AS attached,
+  trim(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(st) + 1), lambda i: st[i] || coalesce(gs[i], '')), ''), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')) AS clean,
+  array_to_string(list_filter({_once("nums")}, lambda n: n BETWEEN 1 AND 3), ',') AS valid
+  FROM (SELECT id, text, string_split_regex(text, '{_M.replace("(", "(?:", 1)}') AS st, list_transform(regexp_extract_all(text, '{_M}', 1), lambda g: {_KEPT}) AS gs,
+    list_transform(flatten(list_transform(regexp_extract_all(text, '{_M}', 1), lambda g: regexp_extract_all(g, '[0-9]+'))), lambda n: n::INTEGER) AS nums FROM (VALUES {_values(LITERAL_ANSWERS)}) v(id, text))"""
+
 SQL: dict[str, str] = {
     "doc_lines": f"WITH {LINES} SELECT *, {_words('text')} AS words FROM lines",
     "doc_registry": f"""WITH {LINES}, d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS sha256 FROM documents), n AS (SELECT doc_id, CAST(len(a) AS INTEGER) AS n_lines FROM line_lists),
@@ -358,4 +435,11 @@ SQL: dict[str, str] = {
     "threshold_calibration": f"""WITH {CASES}, r AS (SELECT coalesce(min(best_score) FILTER (WHERE category <> 'out_of_corpus'), 0) AS low, coalesce(quantile_cont(best_score, 0.5) FILTER (WHERE category <> 'out_of_corpus'), 0) AS mid, coalesce(max(best_score) FILTER (WHERE category = 'out_of_corpus'), 0) AS high FROM cases)
       SELECT round(low, 4) AS in_corpus_min, round(mid, 4) AS in_corpus_median, round(high, 4) AS out_of_corpus_max, round(low - high, 4) AS separation, round((low + high) / 2, 4) AS suggested_threshold FROM r""",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "query_variants": f"WITH v_in AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ') AS text FROM benchmark UNION ALL SELECT * FROM (VALUES {_values(LITERAL_QUESTIONS, -1)}) v(query_id, text)), {VARIANTS} SELECT * FROM variants",
+    "multi_query_merge": f"WITH {MERGED} SELECT query_id, unit_id AS doc_id, fused, dense_score, dense_rank, lexical_score, lexical_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first, unit_id) AS INTEGER) AS rank FROM merged",
+    "topics": f"WITH RECURSIVE {TOPICS} SELECT * FROM topics",
+    "suggestions": f"""WITH RECURSIVE {TOPICS} SELECT DISTINCT doc_id, 0 AS n, 'Summarise document ' || doc_id AS prompt FROM topics
+      UNION ALL SELECT doc_id, n, prompt FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY topic_no) AS INTEGER) AS n, 'What does the section on ' || regexp_replace(name, '\\.+$', '') || ' say?' AS prompt FROM topics WHERE length(name) >= 4) WHERE n < 5""",
+    "markers": MARKERS,
 }
+SQL["page_topics"] = f"SELECT page_id, {_name('section')} AS topic, CAST(sum({_words('text')}) AS BIGINT) AS words FROM ({SQL['html_lines']}) GROUP BY page_id, section"

@@ -100,7 +100,7 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, seed: int = SEED, id_col:
     member = roots.select(F.col("u").alias("fp"), "root").union(roots.select("root", "root").distinct())
     lowest = member.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("lowest"))
     linked = member.join(lowest, "root").select("fp", "lowest")
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
+    named = written(fps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id")))  # so that both sides of the last join are plain exchanges, which AQE can split where one fingerprint fills a partition
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

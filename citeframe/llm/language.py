@@ -107,10 +107,12 @@ class CrossParser:
     @staticmethod
     def _table(moves: list[dict[int, int]]) -> np.ndarray:
         """For state * CLASSES + class: 2 * CLASSES * next state, plus 1 where a phrase ends before the class."""
-        root = np.array([moves[0].get(c, 0) for c in range(CLASSES)], np.int32)
-        out = np.tile(root * 2 * CLASSES + 1, (len(moves), 1)).astype(np.int32)
-        out[:, CLASSES - 1] = np.arange(len(moves)) * 2 * CLASSES
-        at = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        lost = len(moves)  # after a class that starts no substring of the sample: whatever follows starts a phrase
+        root = np.array([moves[0].get(c, lost) for c in range(CLASSES)], np.int32)
+        out = np.tile(root * 2 * CLASSES + 1, (lost + 1, 1)).astype(np.int32)
+        out[0] = root * 2 * CLASSES  # the first phrase ends none
+        out[:, CLASSES - 1] = np.arange(lost + 1) * 2 * CLASSES
+        at = np.repeat(np.arange(lost), [len(m) for m in moves])
         out[at, [c for m in moves for c in m]] = np.array([s for m in moves for s in m.values()], np.int32) * 2 * CLASSES
         return out.reshape(-1)
 
@@ -165,9 +167,11 @@ def training_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     size = F.length(text_col)
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (size > 0) & (size <= sample_doc_chars))
-    order = Window.partitionBy("lang").orderBy("rank", "doc_id")
     chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("rank")).distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    salted = Window.partitionBy("lang", "salt").orderBy("rank", "doc_id")
+    chosen = chosen.withColumn("salt", F.pmod(F.xxhash64("rank"), F.lit(64))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= sample_docs)
+    order = Window.partitionBy("lang").orderBy("rank", "doc_id")  # of 64 times sample_docs rows a language
+    chosen = chosen.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= sample_docs)
     texts = df.where((size > 0) & (size <= sample_doc_chars)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "n", "text").dropDuplicates(["lang", "n"])
     held: dict[str, list[str]] = {}

@@ -69,14 +69,14 @@ def followers(ids: DataFrame, width: int = BUCKET) -> DataFrame:
     return lows.join(tops, "upper").select("bucket", F.coalesce("guest", "next_top").alias("guest"))
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = BUCKET) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; see ``op1_spot_fingerprints``.
 
     The text moves once, to its bucket of neighbouring ids; the one row that a bucket's last row needs from the next bucket comes as a guest. Rows with a null id count as the lowest id there is.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**62))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("bucket", F.floor(F.col("doc_id") / BUCKET))
-    guests = written(followers(base.select("doc_id")))
+    base = base.withColumn("bucket", F.floor(F.col("doc_id") / width))
+    guests = written(followers(base.select("doc_id"), width))
     visits = base.drop("bucket").join(guests.withColumnRenamed("guest", "doc_id"), "doc_id")
     order = Window.partitionBy("doc_id", "bucket").orderBy("text")
     visits = visits.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")

@@ -62,14 +62,12 @@ def refusal_metrics(cases: DataFrame) -> DataFrame:
 def latency_metrics(cases: DataFrame) -> DataFrame:
     """Interpolated median, the element at floor(0.95 n) of the sorted list, and the maximum; exact, from counts by value."""
     by = cases.where("latency_ms is not null").groupBy("latency_ms").agg(F.count("*").alias("c"))
-    median = F.expr("percentile(latency_ms, 0.5, c)")
-    n = by.agg(F.sum("c").alias("n"), median.alias("p50"), F.max("latency_ms").alias("top"))
     # evaluated cases have few distinct latencies, so the running count is over a short list
-    listed = by.agg(F.sort_array(F.collect_list(F.struct("latency_ms", "c"))).alias("v"))
+    row = by.agg(F.sum("c").alias("n"), F.expr("percentile(latency_ms, 0.5, c)").alias("p50"), F.max("latency_ms").alias("top"), F.sort_array(F.collect_list(F.struct("latency_ms", "c"))).alias("v"))
     rank = F.greatest(F.floor(0.95 * F.col("n")), F.lit(1))
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("at"))
     p95 = F.aggregate("v", start, lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.coalesce(s["at"], F.when(s["seen"] + x["c"] >= rank, x["latency_ms"].cast("bigint"))).alias("at")), lambda s: s["at"])
-    return listed.crossJoin(n).select(F.col("p50").alias("latency_p50"), p95.cast("double").alias("latency_p95"), F.col("top").cast("double").alias("latency_max"))
+    return row.select(F.col("p50").alias("latency_p50"), p95.cast("double").alias("latency_p95"), F.col("top").cast("double").alias("latency_max"))
 
 
 def calibration(cases: DataFrame) -> DataFrame:

@@ -120,9 +120,9 @@ def flashcards(units: DataFrame, *keys: str) -> DataFrame:
 
 def quota(found: DataFrame, topics_of: DataFrame, count: int, *keys: str) -> DataFrame:
     """``count`` rows in all, spread over topics (topic, word_count): the same share for each, richest topics first."""
-    n = topics_of.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    n = topics_of.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     per = Window.partitionBy("topic").orderBy(*keys)
-    rows = found.withColumn("in_topic", F.row_number().over(per)).crossJoin(F.broadcast(n)).where(F.col("in_topic") <= F.ceil(F.lit(count) / F.col("n"))).drop("n")
+    rows = found.withColumn("in_topic", F.row_number().over(per)).where(F.col("in_topic") <= F.ceil(F.lit(count) / n))
     return rows.join(topics_of.select("topic", "word_count"), "topic").orderBy(F.col("word_count").desc(), "topic", "in_topic").limit(count)
 
 

@@ -26,11 +26,12 @@ from .words import words
 BLOCK_ITEMS = 256
 BLOCKS_AT_ONCE = 16
 MIN_COSINE = 0.5
-SURE = 0.8
+SURE = 0.7
 LIKELY = 0.5
 ANSWER = 0.8
-#: Words in more than this share of the documents carry no weight, unless they are among an item's rarest.
+#: Words in more documents than this share, and than COMMON_LEAST, carry no weight, unless they are among an item's rarest.
 COMMON = 0.005
+COMMON_LEAST = 20
 RAREST = 8
 
 
@@ -72,7 +73,7 @@ def build_block(ids: list, texts: list[str], df: dict[bytes, int], n_docs: int,
     chosen = set()
     for item in items:
         rare = sorted(set(item), key=lambda w: (-weight[w], w))
-        chosen.update(rare[:RAREST], (w for w in rare if df.get(w, 0) <= COMMON * n_docs))
+        chosen.update(rare[:RAREST], (w for w in rare if df.get(w, 0) <= max(COMMON_LEAST, COMMON * n_docs)))
     vocabulary = {w: i for i, w in enumerate(sorted(chosen))}
     idf = np.array([weight[w] for w in sorted(chosen)])
     x = np.zeros((len(items), len(idf)))

@@ -31,12 +31,26 @@ class Asked:
     result: DataFrame
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, spelling: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Index:
+    """Stored tables that retrieval can use instead of the texts."""
+
+    postings: DataFrame
+    weights: DataFrame
+    vectors: DataFrame
+
+
+def chunk_units(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.concat_ws(" ", "section", "text").alias("text"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, spelling: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The sources of each question: query_id, question, position, chunk columns, score."""
     asked = variants(queries.select("query_id", F.col("question").alias("text")), spelling)
     by = ["query_id", "variant_no"]
-    units = chunks.select("chunk_id", F.concat_ws(" ", "section", "text").alias("text"))
-    fused = fuse(hash_cosine_top_k(asked, units, by=by, key="chunk_id"), bm25_top_k(asked, units, by=by, key="chunk_id"), by, "chunk_id")
+    units = chunk_units(chunks)
+    dense = hash_cosine_top_k(asked, units, by=by, key="chunk_id", weights=index and index.weights, vectors=index and index.vectors)
+    fused = fuse(dense, bm25_top_k(asked, units, by=by, key="chunk_id", postings_of=index and index.postings), by, "chunk_id")
     merged = merge_variants(fused, "chunk_id")
     if allowed is not None:
         merged = merged.join(chunks.select("chunk_id", "doc_id").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
@@ -44,11 +58,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, final: int = K.TOP_FINAL, al
     return drop_overlaps(rerank(pool, "chunk_id"), final).select("query_id", "question", "position", "chunk_id", "doc_id", "page_no", "line_start", "line_end", "section", "text", "score")
 
 
-def ask(queries: DataFrame, docs: DataFrame, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, chunks: DataFrame | None = None, lines: DataFrame | None = None) -> Asked:
+def ask(queries: DataFrame, docs: DataFrame | None, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, chunks: DataFrame | None = None, lines: DataFrame | None = None, index: Index | None = None, spelling: DataFrame | None = None) -> Asked:
     """Answers queries (query_id, question) from documents (doc_id, text)."""
     chunks = stored(chunks_of(docs)) if chunks is None else chunks
     lines = lines_of(docs) if lines is None else lines
-    sources = stored(retrieve(queries, chunks, final, allowed))  # a few rows for each question, read by every later step
+    sources = stored(retrieve(queries, chunks, final, allowed, spelling, index))  # a few rows for each question, read by every later step
     gate = stored(A.refusal(queries, sources))
     open_ = sources.join(gate.where("not refused").select("query_id"), "query_id", "left_semi")
     terms = variants(queries.select("query_id", F.col("question").alias("text"))).select("query_id", F.explode(without(tokens(F.col("text")), K.ANSWER_STOP, 1)).alias("t")).groupBy("query_id").agg(F.sort_array(F.collect_set("t")).alias("expanded"))

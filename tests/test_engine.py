@@ -35,3 +35,21 @@ def test_engine(spark, tmp_path):
     assert pack["topics"].count() >= 1 and pack["flashcards"].count() >= 1
     e.delete(lease)
     assert e.stats()["registry"] == 1 and e.latest_document() is not None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from citeframe.cli import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "lease.txt").write_text(LEASE)
+    (tmp_path / "in" / "broken.txt").write_bytes(b"\xff\xfe")
+    e = Engine(spark, str(tmp_path / "home"))
+    main(["ingest", str(tmp_path / "in")], e)
+    assert "lease.txt: 7 lines" in (said := capsys.readouterr().out) and "broken.txt: not a UTF-8 text" in said
+    main(["ask", "What is the security deposit?", "--doc", "lease"], e)
+    assert "2,91,000" in capsys.readouterr().out
+    main(["topics", "lease"], e)
+    assert capsys.readouterr().out.startswith("1. ")
+    main(["docs"], e)
+    main(["stats"], e)
+    assert "registry 1" in capsys.readouterr().out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashtable import HashTable
-from .shared import in_slices, table
+from .shared import in_batches, in_slices, table
 
 LONG = 64
 CELLS = 1 << 19
@@ -203,7 +203,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, i
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(lambda batches: _encoded(batches, path, pattern, with_ids), schema)
+    return in_batches(rows, lambda batches: _encoded(batches, path, pattern, with_ids), schema)
 
 
 def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,7 +218,7 @@ def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, i
             out = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

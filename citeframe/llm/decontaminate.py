@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_slices, table
+from .shared import in_batches, in_slices, table
 from .words import words
 
 BLOCK_ITEMS = 256
@@ -171,7 +171,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[
                     found[w] = found.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.binary()), pa.array([n, *found.values()], pa.int64())], ["word", "n"])
 
-    rows = docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {None if r.word is None else bytes(r.word): r.n for r in rows}
     return counts, counts.pop(None, 0)
 
@@ -220,7 +220,7 @@ def _pass(rows: DataFrame, items: DataFrame, schema: str) -> DataFrame:
                         keys = batch.column(1).take(pa.array([start + x for x in d], pa.int64()))
                         yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[x] for x in i], pa.int64()), pa.array(cosine), pa.array(share), pa.array(answer)], ["doc_id", "item_id", "cosine", "subsequence", "answer"])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

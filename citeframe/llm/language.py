@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out, in_slices, table
+from .shared import held_out, in_batches, in_slices, table
 
 BLOCK = 256
 CLASSES = 64  # 0 a run of anything but letters and marks, 1 rare letters, last: padding
@@ -200,7 +200,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
             kept = [batch.column(0), *(batch.column(i) for i in range(2, 2 + len(keep)))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

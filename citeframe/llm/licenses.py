@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_batches, table
 from .words import words
 
 MIN_COVERAGE = 0.8
@@ -147,7 +147,7 @@ def scan_licenses(df: DataFrame, scanner: Scanner | None = None, id_col: str = "
             arrays = [pa.array([b[k] for b in best], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array([",".join(x[0] for x in f) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int32())], names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word int, end_word int, licenses string, n_licenses int")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word int, end_word int, licenses string, n_licenses int")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

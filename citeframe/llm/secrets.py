@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import in_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
@@ -99,7 +99,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 spans.append(_joined(every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def redact_text(text: str, replacement: str = "[REDACTED]") -> str:
@@ -128,7 +128,7 @@ def redact(df: DataFrame, text_col: str = "text", replacement: str = "[REDACTED]
             columns[place] = pa.array([None if t is None else redact_text(t, replacement) for t in columns[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

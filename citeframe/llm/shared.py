@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def forget(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of an Arrow batch; with a few kilobytes a text, a batch stays at a few megabytes on both sides of the worker's pipe.
+BATCH_ROWS = 512
+
+
+def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_ROWS`` rows at most, in workers that find this package."""
+    spark = rows.sparkSession
+    workers_find_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def in_slices(texts: list, chars: int = 2_000_000):
     """Start and end of consecutive slices that hold about ``chars`` characters each, and one text at least."""
     start, held = 0, 0

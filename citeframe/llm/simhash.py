@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, written
+from .shared import in_batches, table, written
 
 WIDTH = 3
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(df: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: st
             found = np.array([fingerprint(t or "", width, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _signed(x: int) -> Column:

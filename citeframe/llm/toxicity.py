@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, in_slices, table
+from .shared import held_out, in_batches, in_slices, table
 from .words import words
 
 BUCKETS = 1 << 20
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
             found = [terms(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "label", "terms"])
 
-    got = sorted(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
+    got = sorted(in_batches(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
     return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.label > 0 for r in got]), **how)
 
 
@@ -150,7 +150,7 @@ def score(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", te
             scores = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= toxic_at).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashtable import HashTable
-from .shared import in_slices, table
+from .shared import in_batches, in_slices, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
 REMEMBERED = 300_000
@@ -146,7 +146,7 @@ def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 pieces += got[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], ["doc_id", "n_words", "n_pieces"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_pieces bigint")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_pieces bigint")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,8 @@ class ByteBpe:
 
     def _long(self, piece: bytes) -> list[int]:
         ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = self._ranks(ids[:-1], ids[1:])
         while len(ids) > 1:
-            rank = self._ranks(ids[:-1], ids[1:])
             best = rank.min()
             if best == _NONE:
                 break
@@ -106,17 +106,18 @@ class ByteBpe:
                 first = at[np.r_[True, np.diff(run) != 0]]
                 at = at[(at - first[run - 1]) % 2 == 0]
             for chosen in (at, at[:1]):
-                merged = ids.copy()
-                merged[chosen] = best
                 keep = np.ones(len(ids), bool)
                 keep[chosen + 1] = False
-                merged = merged[keep]
+                kept = np.flatnonzero(keep)
                 new = chosen - np.arange(len(chosen))
+                merged, ranks = ids[kept], rank[kept[1:] - 1]
+                merged[new] = best
                 near = np.unique(np.r_[new - 1, new])
                 near = near[(near >= 0) & (near + 1 < len(merged))]
-                if len(chosen) == 1 or not len(near) or self._ranks(merged[near], merged[near + 1]).min() > best:
+                ranks[near] = fresh = self._ranks(merged[near], merged[near + 1])
+                if len(chosen) == 1 or not len(near) or fresh.min() > best:
                     break
-            ids = merged
+            ids, rank = merged, ranks
         return ids.tolist()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:

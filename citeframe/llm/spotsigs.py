@@ -21,6 +21,8 @@ CHAIN = 2
 ANCHORS = "the is was are that it le la les des est une der die das und ist ein el los las una es del".split()
 OTHER_COMMON = "a an and of to in on at by for with from as be this or un du de et en que qui dans pour sur au par den dem des zu von mit auf nicht sich auch im y se no con por para al o".split()
 BUCKET = 256
+#: A chain looks past this many common words in a row at most, which keeps runs of common words linear; the word behind them then takes the place of a content word.
+MOST_SKIPPED = 50
 
 
 def _likes(words: list[str]) -> str:
@@ -29,14 +31,15 @@ def _likes(words: list[str]) -> str:
 
 def signatures(text: Column) -> Column:
     """The sorted array of distinct 32-bit signature hashes."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    whole_text = plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     common = _likes(ANCHORS + OTHER_COMMON)
-    skip = f"(?:(?:{common}) )*+"
+    plain = F.regexp_replace(plain, f" ({common})(?: \\1(?= ))++(?= )", " $1")  # a common word repeated at once adds no signature, but each repetition would be scanned
+    skip = f"(?:(?:{common}) ){{0,{MOST_SKIPPED}}}+"
     chain = f" (?=((?:{_likes(ANCHORS)}) {skip}[^ ]++" + f" {skip}[^ ]++" * (CHAIN - 1) + "))"
     raw = F.regexp_extract_all(plain, F.lit(chain), 1)
     skipped = f"(?<=.) (?:{common})(?= )"
     found = F.array_distinct(F.transform(raw, lambda s: F.hash(F.regexp_replace(s, skipped, ""))))
-    whole = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+    whole = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(whole_text)))
     return F.sort_array(F.when(F.size(found) > 0, found).otherwise(whole))
 
 

@@ -75,7 +75,7 @@ def calibration(cases: DataFrame) -> DataFrame:
     inside = F.when(F.col("category") != OUT, F.col("best_score"))
     outside = F.when(F.col("category") == OUT, F.col("best_score"))
     row = cases.agg(F.coalesce(F.min(inside), F.lit(0.0)).alias("low"), F.coalesce(F.percentile(inside, 0.5), F.lit(0.0)).alias("mid"), F.coalesce(F.max(outside), F.lit(0.0)).alias("high"))
-    return row.select(F.round("low", 4).alias("in_corpus_min"), F.round("mid", 4).alias("in_corpus_median"), F.round("high", 4).alias("out_of_corpus_max"), F.round(F.col("low") - F.col("high"), 4).alias("separation"), F.round((F.col("low") + F.col("high")) / 2, 4).alias("suggested_threshold"))
+    return row.select(F.round("low", 7).alias("in_corpus_min"), F.round("mid", 7).alias("in_corpus_median"), F.round("high", 7).alias("out_of_corpus_max"), F.round(F.col("low") - F.col("high"), 7).alias("separation"), F.round((F.col("low") + F.col("high")) / 2, 7).alias("suggested_threshold"))
 
 
 def gold_in_corpus(gold: DataFrame, units: DataFrame, batch: int = 500) -> DataFrame:

@@ -388,7 +388,7 @@ SQL: dict[str, str] = {
     "refusal_gate": f"WITH {GATE} SELECT * FROM gated",
     "sentence_scoring": f"WITH {SCORED} SELECT * FROM sent_scored",
     "extractive_answer": f"WITH {COMPOSED} SELECT c.query_id, c.answer, u.used FROM composed c JOIN (SELECT query_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY place) AS used FROM used GROUP BY query_id) u USING (query_id)",
-    "citations": f"WITH {COMPOSED} SELECT s.query_id, 'S' || s.position AS marker, s.doc_id, CAST(length(s.text) AS INTEGER) AS quote_chars, round(s.score, 5) AS retrieval_score, u.position IS NOT NULL AS used_in_answer FROM sources s LEFT JOIN used u ON u.query_id = s.query_id AND u.position = s.position",
+    "citations": f"WITH {COMPOSED} SELECT s.query_id, 'S' || s.position AS marker, s.doc_id, CAST(length(s.text) AS INTEGER) AS quote_chars, round(CAST(s.score AS DECIMAL(18, 6)), 5)::DOUBLE AS retrieval_score, u.position IS NOT NULL AS used_in_answer FROM sources s LEFT JOIN used u ON u.query_id = s.query_id AND u.position = s.position",
     "overview": f"""WITH {RERANKED}, sl AS (SELECT query_id, position, text, {_sentences("text")} AS a FROM sources),
       ss AS (SELECT query_id, position, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM sl),
       best AS (SELECT query_id, position, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, position ORDER BY {_words("s")} DESC, i) AS n FROM ss WHERE {_words("s")} >= 5) WHERE n = 1),
@@ -433,7 +433,7 @@ SQL: dict[str, str] = {
       SELECT {", ".join(f"round(coalesce(count(*) FILTER (WHERE {a})::DOUBLE / nullif(count(*) FILTER (WHERE {b}), 0), 0), 4) AS {n}" for n, a, b in (("refusal_recall", "out_ AND refused", "out_"), ("refusal_precision", "out_ AND refused", "refused"), ("false_refusal_rate", "NOT out_ AND refused", "NOT out_"), ("ood_flagged_rate", "out_ AND fl", "out_"), ("in_corpus_flagged_rate", "NOT out_ AND fl", "NOT out_")))} FROM f""",
     "latency_metrics": "WITH v AS (SELECT length(text) AS x FROM conversations), l AS (SELECT list(x ORDER BY x) AS a FROM v) SELECT quantile_cont(x, 0.5)::DOUBLE AS latency_p50, any_value(a[CAST(greatest(floor(0.95 * len(a)), 1) AS BIGINT)])::DOUBLE AS latency_p95, max(x)::DOUBLE AS latency_max FROM v, l",
     "threshold_calibration": f"""WITH {CASES}, r AS (SELECT coalesce(min(best_score) FILTER (WHERE category <> 'out_of_corpus'), 0) AS low, coalesce(quantile_cont(best_score, 0.5) FILTER (WHERE category <> 'out_of_corpus'), 0) AS mid, coalesce(max(best_score) FILTER (WHERE category = 'out_of_corpus'), 0) AS high FROM cases)
-      SELECT round(low, 4) AS in_corpus_min, round(mid, 4) AS in_corpus_median, round(high, 4) AS out_of_corpus_max, round(low - high, 4) AS separation, round((low + high) / 2, 4) AS suggested_threshold FROM r""",
+      SELECT round(low, 7) AS in_corpus_min, round(mid, 7) AS in_corpus_median, round(high, 7) AS out_of_corpus_max, round(low - high, 7) AS separation, round((low + high) / 2, 7) AS suggested_threshold FROM r""",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "query_variants": f"WITH v_in AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ') AS text FROM benchmark UNION ALL SELECT * FROM (VALUES {_values(LITERAL_QUESTIONS, -1)}) v(query_id, text)), {VARIANTS} SELECT * FROM variants",
     "multi_query_merge": f"WITH {MERGED} SELECT query_id, unit_id AS doc_id, fused, dense_score, dense_rank, lexical_score, lexical_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first, unit_id) AS INTEGER) AS rank FROM merged",

@@ -4,7 +4,7 @@ A suffix automaton of labelled text per language recognises exactly the substrin
 
 All texts of a slice are parsed at once: they are cut into blocks of ``BLOCK`` characters (every block starts a phrase, for all languages alike), and numpy moves all blocks one character ahead at a time through a dense transition table. Whole texts are parsed.
 
-Training reads only rows with a text and a language that are not held out (``shared.held_out``), bounded by ``sample_docs`` rows a language of up to ``sample_doc_chars`` characters, and ``sample_chars`` characters a language; rows are taken in the order of a hash of their id.
+Training reads only rows with a text and a language that are not held out (``shared.held_out``), bounded by ``sample_docs`` rows a language, the first ``sample_doc_chars`` characters of each from its first letter on, and ``sample_chars`` characters a language; rows are taken in the order of a hash of their id, those with a letter only. For prediction texts are read whole.
 
 Null texts, and texts without a letter, are ``und`` with score 0, as is everything where no language was learned. Ties go to the language first in code-point order. Repeated rows give repeated output rows.
 """
@@ -26,6 +26,7 @@ from .shared import held_out, in_batches, in_slices, table
 BLOCK = 256
 CLASSES = 64  # 0 a run of anything but letters and marks, 1 rare letters, last: padding
 UNDETERMINED = "und"
+LETTER = r"\p{L}"
 
 
 @lru_cache(maxsize=1)
@@ -165,14 +166,15 @@ def training_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are chosen first, from narrow columns; only the chosen rows (``sample_docs`` a language, so a proven bound for the broadcast) are then joined with their texts.
     """
-    size = F.length(text_col)
-    rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (size > 0) & (size <= sample_doc_chars))
+    lettered = F.col(text_col).rlike(LETTER)
+    rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & lettered)
     chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("rank")).distinct()
     salted = Window.partitionBy("lang", "salt").orderBy("rank", "doc_id")
     chosen = chosen.withColumn("salt", F.pmod(F.xxhash64("rank"), F.lit(64))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= sample_docs)
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")  # of 64 times sample_docs rows a language
     chosen = chosen.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= sample_docs)
-    texts = df.where((size > 0) & (size <= sample_doc_chars)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    slice_ = F.substring(F.regexp_replace(F.col(text_col), rf"\A[^{LETTER}]+", ""), 1, sample_doc_chars)
+    texts = df.where(lettered).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), slice_.alias("text"))
     joined = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "n", "text").dropDuplicates(["lang", "n"])
     held: dict[str, list[str]] = {}
     for row in sorted(joined.collect(), key=lambda r: (r.lang, r.n)):

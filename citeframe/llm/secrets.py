@@ -2,7 +2,7 @@
 
 Base spans, per kind leftmost and non-overlapping: ``assign`` (a password, secret, token or API key with its value), ``access`` (access key ids), ``hex`` (long hexadecimal runs).
 
-The novelty scan looks at every run of token characters of ``min_length`` or more that overlaps no base span and has a sensitive word shortly before it. A zstandard compressor is primed with a dictionary of identifiers and the text around the candidate; the candidate's marginal size is what it adds to the compressed size of nothing. Strings that stay incompressible, at ``min_ratio`` compressed bytes a byte or more, and mix letters with digits, are added as spans of kind ``novel``. Base spans are never removed.
+The novelty scan looks at every run of token characters of ``min_length`` or more that overlaps no base span and has a sensitive word shortly before it. A zstandard compressor is primed with a dictionary of identifiers and the text around the candidate; the candidate's marginal size is what it adds to the compressed size of nothing. Strings that mix letters with digits and stay incompressible are added as spans of kind ``novel``: at ``min_ratio`` compressed bytes a byte or more, or at what a random string of their length over their own alphabet needs, if that is less (``bound``). Other occurrences of the candidate's value are left out of the text around it, and a candidate that holds a novel string is novel too. Base spans are never removed.
 
 Offsets are code points, end exclusive. Null counts as empty text; rows without spans have counts of zero and empty strings.
 """
@@ -10,6 +10,7 @@ Offsets are code points, end exclusive. Null counts as empty text; rows without
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +38,11 @@ IDENTIFIERS = (
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 12345678 deadbeef xxxxxxxx"
 )
 
+#: Alphabets of keys: hexadecimal, base32 (two kinds), letters of one case with digits, and letters with digits.
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ONE_CASE = [_DIGITS + "ABCDEF", "234567" + _UPPER, _DIGITS + "ABCDEFGHJKMNPQRSTVWXYZ", _DIGITS + _UPPER]
+ALPHABETS = [frozenset(x) for a in _ONE_CASE for x in (a, a.lower())] + [frozenset(_DIGITS + "abcdefABCDEF"), frozenset(_DIGITS + _UPPER + _LOWER)]
+
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base kinds; ``runs``: where RUN matches."""
@@ -60,16 +66,34 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     return (len(compress(raw)) - len(compress(b""))) / max(1, len(raw))
 
 
+def bound(candidate: str) -> float:
+    """Compressed bytes a byte that random strings of this length over the candidate's alphabet reach: their entropy and the table of the code."""
+    used = {c for c in candidate if c.isalnum()}
+    size = min((len(a) for a in ALPHABETS if used <= a), default=62)
+    return 0.985 * (math.log2(size) / 8 + (10 + size / 4) / max(1, len(candidate)))
+
+
+def _without(text: str, value: str) -> str:
+    return text.replace(value, " ")
+
+
 def novel_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], min_ratio: float, context: int, around: int) -> list[tuple[int, int, int]]:
-    out = []
+    open_, novel = [], set()
     for start, end in runs:
         run = text[start:end]
         if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(a < end and start < b for a, _, b in base):
             continue
         before = text[max(0, start - context) : start].rpartition("\n")[2]
-        if SENSITIVE.search(before) and novelty(run, text[max(0, start - around) : start] + text[end : end + around]) >= min_ratio:
-            out.append((start, 3, end))
-    return out
+        if not SENSITIVE.search(before):
+            continue
+        value = max(run.split("="), key=len)
+        value = value if len(value) >= 16 else run
+        # wider by the value's length, so that no part of another occurrence stays at the edges
+        near = _without(text[max(0, start - around - len(value)) : start], value)[-around:] + _without(text[end : end + around + len(value)], value)[:around]
+        if novelty(run, near) >= min(min_ratio, bound(run)):
+            novel.add(value)
+        open_.append((start, end))
+    return [(start, 3, end) for start, end in open_ if any(v in text[start:end] for v in novel)]
 
 
 def scan(text: str, min_length: int = 16, min_ratio: float = 0.8, context: int = 48, around: int = 1000) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

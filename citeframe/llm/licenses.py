@@ -2,7 +2,7 @@
 
 A text and a license template are aligned on words: words that occur exactly once on both sides are anchors, the longest increasing subsequence of the anchors' places is kept, and the gaps between kept anchors are aligned recursively; equal words at the ends of a gap are matched first, so gaps without anchors still contribute. Coverage is the share of the template's words that are matched.
 
-Texts that hold none of a template's key words cannot reach the least coverage, since the template's other words are too few (checked for every template), and are not aligned. Alignment looks at each cluster of key words with a template's length of text around it, anywhere in the whole text, so a text may hold several licenses.
+Texts that hold none of a template's key words cannot reach the least coverage, since the template's other words are too few (checked for every template), and are not aligned. Alignment looks at each cluster of key words with a template's length of text around it, anywhere in the whole text, so a text may hold several licenses. Where a key word is there more often than in the template, as in a notice that stands twice, words are not unique in that window; every part of about the template's length that begins or ends where a key word's place says is then aligned on its own, and the best coverage counts.
 
 Nulls count as empty texts. Every row gives one row; without a license its columns are null and its count 0. Ties go to the longer template, then to the name first in order.
 """
@@ -110,6 +110,31 @@ class Scanner:
                 raise ValueError(f"a text could reach the coverage of {name} without any key word: {text}")
             self.items.append((name, w, {x for x in w if x in self.key_set}))
 
+    def parts(self, w: list[bytes], lo: int, hi: int, template: list[bytes], keys: set[bytes], at: list[int]) -> list[tuple[int, int]]:
+        """The windows to align: ``lo`` to ``hi``, and where a key word is repeated in it those around single notices. Windows that hold too few of the template's words are left out."""
+        n, own = len(template), Counter(template)
+
+        def could(seen: Counter) -> bool:
+            return sum(min(c, seen[x]) for x, c in own.items()) >= self.least * n
+
+        seen = Counter(w[lo:hi])
+        if not could(seen):
+            return []
+        out = [(lo, hi)]
+        if all(seen[k] <= own[k] for k in keys):
+            return out
+        places: dict[bytes, list[int]] = {}
+        for j, x in enumerate(template):
+            places.setdefault(x, []).append(j)
+        starts = sorted({max(0, i - j) for i in at for j in places[w[i]]})
+        ends = sorted({min(len(w), i - j + n) for i in range(lo, hi) if w[i] in keys for j in places[w[i]]})
+        spare = n // 4
+        for x in starts:
+            for y in ends:
+                if n - spare <= y - x <= n + spare and could(Counter(w[x:y])):
+                    out.append((x, y))
+        return out
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last) of each license found, best first."""
         w = words(text)
@@ -126,10 +151,11 @@ class Scanner:
                 while end < len(at) and at[end] - at[end - 1] <= n and at[end] - at[start] <= 2 * n:
                     end += 1
                 lo, hi = max(0, at[start] - n), min(len(w), at[end - 1] + n + 1)
-                pairs = align(w[lo:hi], template)
-                cover = len(pairs) / n
-                if cover >= self.least:
-                    found[name] = max(found.get(name, (0.0, 0, 0, 0)), (cover, n, -(lo + pairs[0][0]), lo + pairs[-1][0] + 1))
+                for x, y in self.parts(w, lo, hi, template, keys, at[start:end]):
+                    pairs = align(w[x:y], template)
+                    cover = len(pairs) / n
+                    if cover >= self.least:
+                        found[name] = max(found.get(name, (0.0, 0, 0, 0)), (cover, n, -(x + pairs[0][0]), x + pairs[-1][0] + 1))
                 start = end
         return [(name, c, -a, b) for name, (c, n, a, b) in sorted(found.items(), key=lambda f: (-f[1][0], -f[1][1], f[0]))]
 

@@ -2,7 +2,7 @@
 
 Benchmark items are handled in blocks of ``BLOCK_ITEMS``. For each block an executor task computes the randomised SVD of its TF-IDF passages (document frequencies come from all documents), which gives a latent vector for each informative word and each item. As a block has no more items than the SVD has dimensions, the latent cosine of an item is that of the TF-IDF space.
 
-Documents are read once. Their words become positions in the vocabulary, and windows as long as the items of a class (items of similar length and norm) slide over the whole text. A window is kept where its TF-IDF mass could reach the least cosine, its latent vector is compared with all items of the class at once, and pairs at ``MIN_COSINE`` or more are candidates. Candidates are verified on words: the longest common subsequence of the item and the text around the window, as a share of the item, and the share of the item's answer (the part after ``answer:``, else its last sentence) that is there. A document contains an item where the subsequence is ``SURE`` or more of it, or, for paraphrases, ``LIKELY`` or more with ``ANSWER`` of the answer.
+Documents are read once. Their words become positions in the vocabulary, and windows as long as the items of a class (items of similar length and norm) slide over the whole text. A window is kept where its mass (squared IDF of each occurrence) is a quarter or more of the least mass among the items of the class, its latent vector is compared with all items of the class at once, and pairs at ``MIN_COSINE`` or more are candidates. Candidates are verified on words: the longest common subsequence of the item and the text around the window, as a share of the item, and the share of the item's answer (the part after ``answer:``, else its last sentence) that is there. A document contains an item where the subsequence is ``SURE`` or more of it, or, for paraphrases, ``LIKELY`` or more with ``ANSWER`` of the answer.
 
 Nulls count as empty; items and documents without words match nothing. Repeated documents give repeated rows, repeated items one row each.
 """
@@ -88,7 +88,8 @@ def build_block(ids: list, texts: list[str], df: dict[bytes, int], n_docs: int,
     kinds: dict[tuple[int, int], list[int]] = {}
     for i in np.flatnonzero((lengths > 0) & (norm > 0)):
         kinds.setdefault((int(np.ceil(np.log2(lengths[i]))), int(np.floor(np.log2(norm[i])))), []).append(int(i))
-    classes = [(int(max(lengths[at]) * 1.25) + 2, float((MIN_COSINE * norm[at].min()) ** 2), np.array(at)) for at in kinds.values()]
+    mass = x @ idf  # as that of windows: each occurrence counts once, so a repeated word weighs no more in the least mass than in a copy
+    classes = [(int(max(lengths[at]) * 1.25) + 2, float(MIN_COSINE**2 * mass[at].min()), np.array(at)) for at in kinds.values()]
     return Block(ids, items, [answer_words(t) for t in texts], vocabulary, idf, (vt * idf).T.astype(np.float32).copy(), (unit @ vt.T).astype(np.float32), classes)
 
 

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from citeframe.llm import language
-from test_operators import KIND
+from llm_plain import KIND
 
 EN = "the quick brown fox jumps over the lazy dog and the cat sat on the mat "
 FR = "le renard brun saute par dessus le chien paresseux et le chat dort "

@@ -11,7 +11,7 @@ import corpus_pipeline
 import public_tokenizers as P
 from citeframe.llm import decontaminate, language, secrets
 from citeframe.llm.words import words
-from test_operators import AWKWARD, KIND, classes, plain_base, plain_fingerprint
+from llm_plain import AWKWARD, KIND, classes, plain_base, plain_fingerprint
 
 
 def brute_force(spark, docs, bench):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.session import workers_find_package
+from citeframe.session import shared_folder, workers_find_package
 
 #: Rows whose crc32 of the id, modulo this, equals HELD_OUT_REMAINDER are never trained on.
 HELD_OUT_MODULUS = 3
@@ -27,18 +26,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER, F.lit(True))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeframe-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = current.get()
-    return place.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
@@ -60,17 +47,21 @@ def forget(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Rows of an Arrow batch; with a few kilobytes a text, a batch stays at a few megabytes on both sides of the worker's pipe.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch: a few megabytes on both sides of the worker's pipe whatever the length of texts (a batch holds one row at least).
+BATCH_BYTES = 4 << 20
 
 
 def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """``mapInArrow`` with batches of ``BATCH_ROWS`` rows at most, in workers that find this package."""
+    """``mapInArrow`` with batches of about ``BATCH_BYTES`` at most, in workers that find this package.
+
+    Spark reads the bound from the session when the plan runs, after this function has returned, so it cannot be put back here: the session's bound is lowered where it is unset or higher, and otherwise left.
+    """
     spark = rows.sparkSession
     workers_find_package(spark)
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
-        spark.conf.set(size, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(size, "-1")
+    if held.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 
 

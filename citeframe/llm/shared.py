@@ -54,13 +54,12 @@ BATCH_BYTES = 4 << 20
 def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
     """``mapInArrow`` with batches of about ``BATCH_BYTES`` at most, in workers that find this package.
 
-    Spark reads the bound from the session when the plan runs, after this function has returned, so it cannot be put back here: the session's bound is lowered where it is unset or higher, and otherwise left.
+    Spark reads the bound from the session when the plan runs, after this function has returned, so it cannot be put back here: the session's bound is lowered where it is higher, and otherwise left.
     """
     spark = rows.sparkSession
     workers_find_package(spark)
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(size, "-1")
-    if held.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 

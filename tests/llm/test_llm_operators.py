@@ -243,8 +243,7 @@ def test_paraphrases_and_blocks(spark, monkeypatch):
     ddf, idf = spark.createDataFrame(docs, kinds[0]), spark.createDataFrame([*enumerate(items), (98, None), (99, "  ")], kinds[1])
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(ddf, idf).collect()}
     assert got == wanted | {(None, 0), (102, 1)}
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
-    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 14)
     again = {(x.doc_id, x.item_id) for x in decontaminate.leaks(ddf, idf).collect()}
     assert again == got
     assert decontaminate.leaks(ddf, idf.where("false")).count() == decontaminate.leaks(ddf.where("false"), idf).count() == 0

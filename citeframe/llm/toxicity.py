@@ -1,10 +1,12 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text is the set of its words, hashed to ``BUCKETS`` terms (crc32). The model is second order: a bias, a weight for each term and the inner products of the terms' factors, so pairs of terms (an insult with the mention of a group) carry weight that no sum of single weights has. Terms are those whose association with the label is significant in the training rows (log-likelihood ratio of ``min_llr`` or more), ``max_terms`` at most.
+A text is the set of its words and of the first ``PREFIX`` bytes of longer words, hashed to ``BUCKETS`` terms (crc32). The model is second order: a bias, a weight for each term and the inner products of the terms' factors, so pairs of terms (an insult with the mention of a group) carry weight that no sum of single weights has.
 
-Training reads labels only of rows that are not held out (``shared.held_out``); it takes ``sample_rows`` of them at most, in the order of a hash of their id, and fits on the driver by mini-batch Adam on the logistic loss. Labels, lang, source and doc_id are never inputs of a score.
+Every term of the training rows takes part. A term's weight and factors stay zero until a gradient moves them: its own, where it exceeds ``sigmas`` standard errors (and ``least`` rows), or that of its interactions. For those, power iteration finds the directions in which the residuals' co-occurrence matrix (terms by terms, never built) is strongest, and terms that stand out there by ``pair_sigmas`` and ``pair_least`` begin to move even if they tell nothing alone. The moving terms are then fitted by mini-batch Adam on the logistic loss, and all gradients are looked at again, until no further term moves.
 
-Null counts as empty text; a text without any learned term, an empty one too, scores the bias alone. Repeated label rows of a document count once (toxic if any is); null labels are left out. Without any training row every score is 0. Repeated rows give repeated output rows.
+Training reads labels only of rows that are not held out (``shared.held_out``). Its bounds: ``sample_rows`` labelled ids, in the order of a hash of their id, one text of each, and of a text with more than ``sample_terms`` terms those with the lowest hashes. Labels, lang, source and doc_id are never inputs of a score.
+
+Null counts as empty text; a text without any learned term, an empty one too, scores the bias alone. Repeated label rows of a document count once (toxic if any is); null labels are left out. Of several texts of one id the one whose terms come first in order is learned from. Without any training row every score is 0; an empty table of documents gives no rows. Repeated rows give repeated output rows, and columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -22,13 +24,20 @@ from .shared import held_out, in_batches, in_slices, table
 from .words import words
 
 BUCKETS = 1 << 20
+PREFIX = 5
 REMEMBERED = 500_000
 TOXIC_AT = 0.7
 
 
+def features(text: str) -> set[bytes]:
+    """The distinct words of a text, and the starts of longer ones (marked by a character that no word has)."""
+    found = set(words(text))
+    return found | {w[:PREFIX] + b"*" for w in found if len(w) > PREFIX}
+
+
 def terms(text: str) -> np.ndarray:
     """The distinct hashed terms of a text."""
-    return np.unique(np.fromiter((crc32(w) & (BUCKETS - 1) for w in set(words(text))), np.int32))
+    return np.unique(np.fromiter((crc32(w) & (BUCKETS - 1) for w in features(text)), np.int32))
 
 
 @dataclass
@@ -45,74 +54,102 @@ class FactorizationMachine:
         total = np.vstack([np.zeros((1, per.shape[1])), np.cumsum(per, axis=0, dtype=np.float64)])
         rows = total[ends] - total[ends - sizes]
         z = self.bias + rows[:, 0] + 0.5 * ((rows[:, 2:] ** 2).sum(axis=1) - rows[:, 1])
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def _llr(k: np.ndarray, n: np.ndarray, positives: int, total: int) -> np.ndarray:
-    """Signed log-likelihood ratio of ``k`` of the ``n`` rows with a term being positive."""
+        return _all_scores(z)
 
-    def part(a, b):
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
 
-    rate = positives / total
-    rest_k, rest_n = positives - k, total - n
-    return 2 * (part(k, n * rate) + part(n - k, n * (1 - rate)) + part(rest_k, rest_n * rate) + part(rest_n - rest_k, rest_n * (1 - rate)))
+def _all_scores(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, max_terms: int = 4096, min_llr: float = 30.0, min_rows: int = 5, steps: int = 2000, batch: int = 512, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Fits on rows of distinct hashed terms with labels 0 and 1."""
-    labels = np.asarray(labels, np.float64)
-    none = FactorizationMachine(-50.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
-    if not len(rows):
-        return none
-    n = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    k = np.bincount(np.concatenate(rows), np.repeat(labels, [len(r) for r in rows]), BUCKETS)
-    strength = np.where(n >= min_rows, _llr(k, n, int(labels.sum()), len(labels)), 0.0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:max_terms])
-    chosen = chosen[strength[chosen] >= min_llr].astype(np.int32)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    feats = [p[p >= 0] for p in (place[r] for r in rows)]
-    random = np.random.default_rng(seed)
-    base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
-    theta = [np.array([np.log(base / (1 - base))]), np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), factors))]
+def _adam(theta: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int, batch: int, rate: float, shrink: float, random: np.random.Generator) -> None:
+    """Fits bias, weights and factors in place; ``flat``: the rows' features one after another."""
     moments = [(np.zeros_like(t), np.zeros_like(t)) for t in theta]
-    sizes = np.array([len(f) for f in feats])
-    step = 0
+    starts, step = np.r_[0, np.cumsum(sizes)], 0
     while step < steps:
-        order = random.permutation(len(rows))
+        order = random.permutation(len(sizes))
         for start in range(0, len(order), batch):
             take = order[start : start + batch]
-            flat = np.concatenate([feats[i] for i in take]).astype(np.int64)
-            owner = np.repeat(np.arange(len(take)), sizes[take])
-            v = theta[2][flat]
-            sums = np.zeros((len(take), factors))
-            np.add.at(sums, owner, v)
-            squares = np.bincount(owner, (v**2).sum(axis=1), len(take))
-            z = theta[0][0] + np.bincount(owner, theta[1][flat], len(take)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[take]) / len(take)
-            grads = [np.array([error.sum()]), np.bincount(flat, error[owner], len(chosen)) + shrink * theta[1], shrink * theta[2]]
-            np.add.at(grads[2], flat, error[owner, None] * (sums[owner] - v))
+            n = sizes[take]
+            own = np.repeat(np.arange(len(take)), n)
+            at = flat[np.repeat(starts[take] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            v = theta[2][at]
+            sums = np.zeros((len(take), v.shape[1]))
+            np.add.at(sums, own, v)
+            z = theta[0][0] + np.bincount(own, theta[1][at], len(take)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(own, (v**2).sum(axis=1), len(take)))
+            error = (_all_scores(z) - labels[take]) / len(take)
+            grads = [np.array([error.sum()]), np.bincount(at, error[own], len(theta[1])) + shrink * theta[1], shrink * theta[2]]
+            np.add.at(grads[2], at, error[own, None] * (sums[own] - v))
             step += 1
             for t, g, (m, s) in zip(theta, grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 t -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(float(theta[0][0]), chosen, theta[1], theta[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> FactorizationMachine:
-    """Fits on a bounded sample; only the hashed terms of its rows reach the driver."""
+def _interacting(at: np.ndarray, owner: np.ndarray, error: np.ndarray, n: np.ndarray, probes: int, powers: int, sigmas: float, least: float, random: np.random.Generator) -> np.ndarray:
+    """Terms that stand out in the strongest directions of X' diag(error) X without its diagonal, X being rows by terms."""
+    rows, n_terms = len(error), len(n)
+    scale = 1 / np.sqrt(n * (error**2).mean() + least)
+    own = np.bincount(at, error[owner], n_terms)
+
+    def times(u: np.ndarray) -> np.ndarray:
+        return np.bincount(at, (error * np.bincount(owner, u[at], rows))[owner], n_terms) - own * u
+
+    directions = random.normal(size=(n_terms, probes))
+    for _ in range(powers):
+        directions = np.linalg.qr(np.column_stack([scale * times(scale * u) for u in directions.T]))[0]
+    out = np.zeros(n_terms, bool)
+    for u in (scale * d for d in directions.T):
+        parts = (error * np.bincount(owner, u[at], rows))[owner] - error[owner] * u[at]
+        total, spread = np.bincount(at, parts, n_terms), np.sqrt(np.bincount(at, parts**2, n_terms))
+        out |= (np.abs(total) > least * np.abs(u).max()) & (np.abs(total) > sigmas * spread)
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, sigmas: float = 4.0, least: float = 4.0, pair_sigmas: float = 6.0, pair_least: float = 10.0, rounds: int = 6, steps: int = 300, batch: int = 512, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """Fits on rows of distinct hashed terms with labels 0 and 1."""
+    labels = np.asarray(labels, np.float64)
+    if not len(rows):
+        return FactorizationMachine(-50.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
+    random = np.random.default_rng(seed)
+    base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
+    sizes = np.array([len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    terms_, at = np.unique(np.concatenate([np.empty(0, np.int32), *rows]), return_inverse=True)
+    n = np.bincount(at, minlength=len(terms_)).astype(np.float64)
+    bias, weights, vectors, moving = np.array([np.log(base / (1 - base))]), np.zeros(len(n)), np.zeros((len(n), factors)), np.zeros(len(n), bool)
+    for _ in range(rounds if len(n) else 0):
+        place = np.cumsum(moving) - 1
+        chosen = moving[at]
+        model = FactorizationMachine(float(bias[0]), terms_[moving], weights[moving], vectors[moving])
+        error = labels - model.scores(place[at[chosen]], np.bincount(owner[chosen], minlength=len(rows)))
+        gradient = np.bincount(at, error[owner], len(n))
+        new = np.abs(gradient) > sigmas * np.sqrt(n * (error**2).mean()) + least
+        new = (new | _interacting(at, owner, error, n, 2, 4, pair_sigmas, pair_least, random)) & ~moving
+        if not new.any():
+            break
+        moving |= new
+        vectors[new] = random.normal(0, 0.05, (int(new.sum()), factors))
+        place, chosen = np.cumsum(moving) - 1, moving[at]
+        theta = [bias, weights[moving], vectors[moving]]
+        _adam(theta, place[at[chosen]], np.bincount(owner[chosen], minlength=len(rows)), labels, steps, batch, rate, shrink, random)
+        bias, weights[moving], vectors[moving] = theta
+    return FactorizationMachine(float(bias[0]), terms_[moving].astype(np.int32), weights[moving], vectors[moving])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_terms: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> FactorizationMachine:
+    """Fits on a bounded sample; only the hashed terms of one text of each of its ids reach the driver."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(t or "") for t in batch.column(1).to_pylist()]
+            found = [terms(t or "")[:sample_terms] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "label", "terms"])
 
-    got = sorted(in_batches(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
+    one = in_batches(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
+    got = sorted(one.collect(), key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.label > 0 for r in got]), **how)
 
 
@@ -130,7 +167,7 @@ class _Cache(dict):
 
 
 def score(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", toxic_at: float = TOXIC_AT) -> DataFrame:
-    """doc_id, score and predicted for each row; no shuffle. The model is of bounded size (``max_terms``)."""
+    """doc_id, score and predicted for each row; no shuffle. The model is of bounded size (that of the sample)."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
@@ -142,7 +179,7 @@ def score(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", te
             for start, end in in_slices(texts):
                 flat, sizes = [], []
                 for t in texts[start:end]:
-                    found = set(map(at, set(words(t))))
+                    found = set(map(at, features(t)))
                     found.discard(-1)
                     flat += sorted(found)
                     sizes.append(len(found))
@@ -154,6 +191,7 @@ def score(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", te
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and label of every document, by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

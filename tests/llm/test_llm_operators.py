@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -169,37 +170,49 @@ def test_novelty():
 
 
 # ------------------------------------------------------------------ 5
-def test_factorization_learns_a_pair():
-    r = random.Random(5)
-    rows, labels = [], []
-    for _ in range(3000):
-        a, b = r.random() < 0.5, r.random() < 0.5
-        rows.append(toxicity.terms(" ".join(["filler%d" % r.randrange(50), *["insult"] * a, *["group"] * b])))
-        labels.append(a and b)
-    model = toxicity.fit(rows, labels, min_llr=10)
+def model_score(model, text):
+    """The definition: bias, weights, and the inner products of all pairs of factors."""
     place = {int(t): i for i, t in enumerate(model.terms)}
+    at = [place[t] for t in toxicity.terms(text).tolist() if t in place]
+    z = model.bias + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for i in at for j in at if i < j)
+    return 1 / (1 + math.exp(-z))
 
-    def score(text):
-        at = [place[t] for t in toxicity.terms(text).tolist() if t in place]
-        return float(model.scores(__import__("numpy").array(at, int), __import__("numpy").array([len(at)]))[0])
 
-    assert score("insult group") > 0.9 > 0.3 > max(score("insult"), score("group"), score(""))
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_factorization_learns_a_pair(rule):
+    """Both words, and exactly one of them, which neither word alone tells anything of."""
+    r = random.Random(5)
+    rows, labels = [], []
+    for _ in range(6000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(toxicity.terms(" ".join(["f%d" % r.randrange(50), *["insult"] * a, *["group"] * b])))
+        labels.append(rule(a, b))
+    model = toxicity.fit(rows, labels)
+    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        score = model_score(model, " ".join(["insult"] * a + ["group"] * b))
+        assert score > 0.9 if rule(a, b) else score < 0.1
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, known)
     got = toxicity.op5_toxicity(spark, sf).collect()
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in known.collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     test = [r for r in got if r.held_out and r.doc_id in labels]
     caught = [labels[r.doc_id] for r in test if r.predicted]
-    assert caught and sum(caught) / len(caught) > 0.9
+    assert caught and sum(caught) / len(caught) > 0.95 and sum(caught) > 0.65 * sum(labels[r.doc_id] for r in test)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 100").collect()}
+    scores = {r.doc_id: r.score for r in got}
+    assert all(scores[d] == pytest.approx(model_score(model, t or ""), abs=1e-9) for d, t in texts.items())
 
 
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(3, 1), (3, 0), (2, None), (None, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(awkward, labels)
     assert toxicity.score(awkward, model).count() == len(AWKWARD)
+    assert toxicity.score(awkward.where("false"), toxicity.train(awkward.where("false"), labels)).collect() == []
     assert toxicity.score(awkward, toxicity.train(awkward, labels.where("false"))).where("predicted = 1").count() == 0
 
 

@@ -1,12 +1,12 @@
 """Language identification by cross-parsing.
 
-A suffix automaton of labelled text per language recognises exactly the substrings of that text. A text is parsed left to right into phrases, each the longest match in the automaton; a phrase ends where the automaton has no transition. With c phrases over n characters against training text of length N, c * log2(N) / n estimates the bits a character costs under that language, and the cheapest language wins.
+A suffix automaton of labelled text per language recognises exactly the substrings of that text. A text is parsed left to right into phrases, each the longest match in the automaton; a phrase ends where the automaton has no transition, and a character that the language's text lacks is an empty phrase and itself, so two. With c phrases over n characters against training text of length N, c * log2(N) / n estimates the bits a character costs under that language, and the cheapest language wins.
 
-All texts of a slice are parsed at once: they are cut into blocks of ``BLOCK`` characters (every block starts a phrase, for all languages alike), and numpy moves all blocks one character ahead at a time through a dense transition table. Whole texts are parsed.
+All texts of a slice are parsed at once: they are cut into blocks of ``BLOCK`` characters, and numpy moves all blocks one character ahead at a time. Every block is first parsed as if a phrase began with it. Then its parse is mended from the state in which the block before really ends, up to the character where both parses are in the same state, after which they cannot differ; a block that ends in another state than assumed mends the next one, until none is left. So phrases of any length cross blocks, and the result is that of one parse from left to right. Transitions of the ``CLASSES`` - 4 commonest letters stand in a dense table, those of all other letters of the samples in a hash table.
 
-Training reads only rows with a text and a language that are not held out (``shared.held_out``), bounded by ``sample_docs`` rows a language, the first ``sample_doc_chars`` characters of each from its first letter on, and ``sample_chars`` characters a language; rows are taken in the order of a hash of their id, those with a letter only. For prediction texts are read whole.
+Training reads only rows with a text and a language that are not held out (``shared.held_out``), bounded by ``sample_docs`` rows a language, the first ``sample_doc_chars`` characters of each from its first letter on, and ``sample_chars`` characters a language; rows are taken in the order of a hash of their id, those with a letter only. Languages are all that occur. For prediction texts are read whole.
 
-Null texts, and texts without a letter, are ``und`` with score 0, as is everything where no language was learned. Ties go to the language first in code-point order. Repeated rows give repeated output rows.
+Null texts, and texts without a letter, are ``und`` with score 0, as is everything where no language was learned. Ties go to the language first in code-point order. Repeated rows give repeated output rows, an empty table none; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out, in_batches, in_slices, table
+from .hashtable import HashTable
+from .shared import held_out, in_batches, in_slices, table, written
 
 BLOCK = 256
-CLASSES = 64  # 0 a run of anything but letters and marks, 1 rare letters, last: padding
+CLASSES = 64  # 0 a run of anything but letters and marks, 1 other letters of the samples, 2 letters of no sample, last: padding
+RARE = 1
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
@@ -93,29 +95,87 @@ class CrossParser:
             values, counts = np.unique(low, return_counts=True)
             seen.update(dict(zip(values.tolist(), counts.tolist(), strict=True)))
         seen.pop(0, None)
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: CLASSES - 3]
-        self.classes = np.ones(0x110000, np.uint8)
+        common = sorted(seen, key=lambda c: (-seen[c], c))[: CLASSES - 4]
+        self.classes = np.full(0x110000, 2, np.uint8)
+        self.classes[list(seen)] = RARE
         self.classes[0] = 0
-        self.classes[common] = np.arange(2, 2 + len(common))
-        self.languages, self.tables, self.bits = [], [], []
+        self.classes[common] = np.arange(3, 3 + len(common))
+        self.languages, self.tables, self.others, self.foreign, self.bits = [], [], [], [], []
         for lang, low in lowered:
             if not (low != 0).any():
                 continue
             self.languages.append(lang)
             self.bits.append(float(np.log2(max(2, len(low)))))
-            self.tables.append(self._table(suffix_automaton(self.classes[low].tolist())))
-
-    @staticmethod
-    def _table(moves: list[dict[int, int]]) -> np.ndarray:
-        """For state * CLASSES + class: 2 * CLASSES * next state, plus 1 where a phrase ends before the class."""
+            dense, others = self._table(suffix_automaton(low.tolist()))
+            self.tables.append(dense)
+            self.others.append(others)
+            foreign = np.ones(0x110001, bool)
+            foreign[low] = foreign[0x110000] = False
+            self.foreign.append(foreign)
+
+    def _table(self, moves: list[dict[int, int]]) -> tuple[np.ndarray, HashTable]:
+        """For state * CLASSES + class: 2 * CLASSES * next state, plus 1 where a phrase ends before the class. The hash table has the next state by state and letter for rare letters."""
         lost = len(moves)  # after a class that starts no substring of the sample: whatever follows starts a phrase
-        root = np.array([moves[0].get(c, lost) for c in range(CLASSES)], np.int32)
+        at = np.repeat(np.arange(lost), [len(m) for m in moves])
+        letters = np.array([c for m in moves for c in m], np.int64)
+        after = np.array([s for m in moves for s in m.values()], np.int32)
+        kind = self.classes[letters]
+        root = np.full(CLASSES, lost, np.int32)
+        root[kind[at == 0]] = after[at == 0]
+        root[RARE] = lost
         out = np.tile(root * 2 * CLASSES + 1, (lost + 1, 1)).astype(np.int32)
         out[0] = root * 2 * CLASSES  # the first phrase ends none
         out[:, CLASSES - 1] = np.arange(lost + 1) * 2 * CLASSES
-        at = np.repeat(np.arange(lost), [len(m) for m in moves])
-        out[at, [c for m in moves for c in m]] = np.array([s for m in moves for s in m.values()], np.int32) * 2 * CLASSES
-        return out.reshape(-1)
+        dense = kind != RARE
+        out[at[dense], kind[dense]] = after[dense] * 2 * CLASSES
+        keys = at[~dense].astype(np.uint64) << np.uint64(21) | letters[~dense].astype(np.uint64)
+        return out.reshape(-1), HashTable(keys, after[~dense])
+
+    def _step(self, k: int, at: np.ndarray, column: np.ndarray, letters: np.ndarray | None) -> np.ndarray:
+        """The table's entries for lanes in states ``at`` and their next classes; ``letters``: the code points if a rare one is among them."""
+        step = self.tables[k].take((at >> 1) + column)
+        if letters is not None and len(rare := np.flatnonzero(column == RARE)):
+            state, letter = (at[rare] // (2 * CLASSES)).astype(np.uint64) << np.uint64(21), letters[rare].astype(np.uint64)
+            there, root = self.others[k].lookup(state | letter), self.others[k].lookup(letter)
+            lost = len(self.tables[k]) // CLASSES - 1
+            step[rare] = np.where(there >= 0, there, np.where(root >= 0, root, lost)) * 2 * CLASSES + ((there < 0) & (state != 0))
+        return step
+
+    def _parse(self, k: int, lanes: np.ndarray, letters: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Phrases that end in each block; ``inner``: blocks that continue the one before."""
+        size = lanes.shape[1]
+        rare = (lanes == RARE).any(axis=1)
+        states, counts = np.empty((BLOCK, size), np.int32), np.empty((BLOCK, size), np.int16)
+        at, ends = np.zeros(size, np.int32), np.zeros(size, np.int16)
+        for j in range(BLOCK):
+            step = self._step(k, at, lanes[j], letters[j] if rare[j] else None)
+            end = step & 1
+            ends += end.astype(np.int16)
+            at = step - end
+            states[j], counts[j] = at, ends
+        total, last = ends.copy(), at.copy()
+        todo = np.flatnonzero(inner)
+        while len(todo):
+            at, ends, live = last[todo - 1], np.zeros(len(todo), np.int16), np.arange(len(todo))
+            after = states[-1, todo]
+            for j in range(BLOCK):
+                lane = todo[live]
+                step = self._step(k, at[live], lanes[j, lane], letters[j, lane] if rare[j] else None)
+                end = step & 1
+                ends[live] += end.astype(np.int16)
+                at[live] = now = step - end
+                met = now == states[j, lane]
+                done = lane[met]
+                total[done] = ends[live[met]] + counts[-1, done] - counts[j, done]
+                live = live[~met]
+                if not len(live):
+                    break
+            total[todo[live]], after[live] = ends[live], at[live]
+            changed = todo[after != last[todo]] + 1
+            last[todo] = after
+            changed = changed[changed < size]
+            todo = changed[inner[changed]]
+        return total
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by language and text, normalised lengths, and whether there is a letter."""
@@ -124,24 +184,22 @@ class CrossParser:
         for t in texts:
             codes = _codes(t)
             has.append(bool(letter[codes].any()))
-            part = self.classes[_lowered(codes)]
-            lengths.append(len(part))
-            parts.append(part)
-            if rest := -len(part) % BLOCK:
-                parts.append(np.full(rest, CLASSES - 1, np.uint8))
+            low = _lowered(codes)
+            lengths.append(len(low))
+            parts.append(low)
+            if rest := -len(low) % BLOCK:
+                parts.append(np.full(rest, 0x110000, np.uint32))
         lengths = np.array(lengths, np.int64)
         blocks = -(-lengths // BLOCK)
-        lanes = np.ascontiguousarray(np.concatenate(parts).reshape(-1, BLOCK).T).astype(np.int32) if blocks.sum() else np.empty((BLOCK, 0), np.int32)
-        owner = np.repeat(np.arange(len(texts)), blocks)
         out = np.zeros((len(self.tables), len(texts)), np.int64)
-        for k, moves in enumerate(self.tables):
-            at, ends = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
-            for column in lanes:
-                step = moves.take((at >> 1) + column)
-                end = step & 1
-                ends += end
-                at = step - end
-            out[k] = np.bincount(owner, ends, len(texts)).astype(np.int64) + blocks
+        if blocks.sum():
+            letters = np.ascontiguousarray(np.concatenate(parts).reshape(-1, BLOCK).T)
+            lanes = np.append(self.classes, CLASSES - 1)[letters].astype(np.int32)
+            owner = np.repeat(np.arange(len(texts)), blocks)
+            inner = np.r_[False, owner[1:] == owner[:-1]]
+            for k in range(len(self.tables)):
+                found = self._parse(k, lanes, letters, inner) + self.foreign[k][letters].sum(axis=0)
+                out[k] = np.bincount(owner, found, len(texts)).astype(np.int64) + (lengths > 0)
         return out, lengths, np.array(has, bool)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -164,7 +222,7 @@ def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 def training_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 60, sample_doc_chars: int = 6000, sample_chars: int = 40_000) -> tuple[tuple[str, str], ...]:
     """The bounded sample of labelled text, one text a language.
 
-    Ids are chosen first, from narrow columns; only the chosen rows (``sample_docs`` a language, so a proven bound for the broadcast) are then joined with their texts.
+    Ids are chosen first, from narrow columns; only the chosen rows (``sample_docs`` a language, in a table of known size, which Catalyst broadcasts if it is small) are then joined with their texts.
     """
     lettered = F.col(text_col).rlike(LETTER)
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & lettered)
@@ -175,7 +233,7 @@ def training_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = chosen.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= sample_docs)
     slice_ = F.substring(F.regexp_replace(F.col(text_col), rf"\A[^{LETTER}]+", ""), 1, sample_doc_chars)
     texts = df.where(lettered).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), slice_.alias("text"))
-    joined = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "n", "text").dropDuplicates(["lang", "n"])
+    joined = texts.join(written(chosen), ["doc_id", "lang"]).select("lang", "n", "text").dropDuplicates(["lang", "n"])
     held: dict[str, list[str]] = {}
     for row in sorted(joined.collect(), key=lambda r: (r.lang, r.n)):
         got = held.setdefault(row.lang, [])
@@ -206,5 +264,6 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by automata of the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, training_texts(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

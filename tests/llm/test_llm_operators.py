@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -307,20 +308,52 @@ def test_components_of_a_chain(spark):
 
 
 # ------------------------------------------------------------------ 8
+def plain_normal(text):
+    """Lower-case letters and marks, each run of anything else as one blank."""
+    out = []
+    for c in text:
+        if unicodedata.category(c)[0] in "LM":
+            out.append(c.lower()[0])
+        elif not out or out[-1] != "\0":
+            out.append("\0")
+    return "".join(out)
+
+
 def plain_phrases(text, sample):
-    low, known = language._lowered(language._codes(text)).tolist(), language._lowered(language._codes(sample)).tolist()
-    known = "".join(map(chr, known))
-    total = 0
-    for start in range(0, len(low), language.BLOCK):
-        block, at = "".join(map(chr, low[start : start + language.BLOCK])), 0
-        while at < len(block):
-            end = at + 1
-            while end < len(block) and block[at : end + 1] in known:
-                end += 1
-            total, at = total + 1, end
+    low, known, total, at = plain_normal(text), plain_normal(sample), 0, 0
+    while at < len(low):
+        end = at + 1
+        while end < len(low) and low[at : end + 1] in known:
+            end += 1
+        total, at = total + 1 + (low[at] not in known), end
     return total
 
 
+def test_phrases_cross_blocks():
+    """Phrases of any length, runs of one letter, and alphabets larger than the dense table."""
+    r = random.Random(17)
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 8))) for _ in range(800))
+    wide = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(6000))
+    sample = (("a", prose + "x" * 700), ("b", wide), ("c", "x" * 300 + "abab" * 200))
+    parser = language.CrossParser(sample)
+    texts = [prose[500:1500], prose[:37] + prose[900:2400] + "q" + prose[3:700], "x" * 2000, "ab" * 900 + "x" * 600, wide[1000:2000], wide[::-1][:700], "\u9fa5" * 300 + wide[5:600], "", "1" * 999, prose[7:400].upper() + "é" * 5]
+    texts += ["".join(r.choice(["x", "ab", "a", "e ", "the ", wide[r.randrange(5000)], prose[i : i + 90]]) for i in (r.randrange(2000) for _ in range(120))) for _ in range(20)]
+    counts, lengths, _ = parser.phrases(texts)
+    assert parser.phrases([prose[500:1500]])[0][0][0] == 1
+    for i, t in enumerate(texts):
+        assert lengths[i] == len(plain_normal(t))
+        for k, (_, s) in enumerate(sample):
+            assert counts[k][i] == plain_phrases(t, s), (k, i)
+
+
+def test_large_alphabets_are_told_apart():
+    r = random.Random(18)
+    kinds = [[chr(0x4E00 + 3000 * k + i) for i in range(3000)] for k in range(2)]
+    parser = language.CrossParser(tuple((str(k), "".join(r.choice(a) for _ in range(20_000))) for k, a in enumerate(kinds)))
+    texts = [(str(k), "".join(r.choice(kinds[k]) for _ in range(300))) for k in (0, 1) for _ in range(50)]
+    assert parser.predict([t for _, t in texts])[0] == [k for k, _ in texts]
+
+
 def test_cross_parsing_by_brute_force():
     sample = (("a", "the quick brown fox jumps over the lazy dog and the cat"), ("b", "le renard brun saute par dessus le chien paresseux"))
     parser = language.CrossParser(sample)
@@ -341,6 +374,7 @@ def test_languages_held_out(spark, awkward):
     assert len(test) > 200 and sum(test) / len(test) > 0.98
     rows = language.identify(awkward, language.training_texts(awkward)).collect()
     assert len(rows) == len(AWKWARD) and {r.lang_pred for r in rows if r.doc_id in (1, 2, 7, 9)} == {"und"}
+    assert language.identify(awkward.where("false"), language.training_texts(awkward)).collect() == []
     none = language.identify(awkward, language.training_texts(awkward.where("false"))).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 

@@ -2,9 +2,9 @@
 
 A text and a license template are aligned on words: words that occur exactly once on both sides are anchors, the longest increasing subsequence of the anchors' places is kept, and the gaps between kept anchors are aligned recursively; equal words at the ends of a gap are matched first, so gaps without anchors still contribute. Coverage is the share of the template's words that are matched.
 
-Texts that hold none of a template's key words cannot reach the least coverage, since the template's other words are too few (checked for every template), and are not aligned. Alignment looks at each cluster of key words with a template's length of text around it, anywhere in the whole text, so a text may hold several licenses. Where a key word is there more often than in the template, as in a notice that stands twice, words are not unique in that window; every part of about the template's length that begins or ends where a key word's place says is then aligned on its own, and the best coverage counts.
+A notice is a part of the text of at most twice its template's words with a coverage of ``MIN_COVERAGE`` or more. The whole text is searched: a window slides over it, first of five quarters of the template's words and then, in what is left, of twice their number. Where a window holds enough of the template's words, each as often as the template does at most (so no window that could reach the coverage is passed over), it is aligned at the place where it holds most of them. A notice found ends the search of its words, and the search goes on behind it, so notices that stand twice are found twice.
 
-Nulls count as empty texts. Every row gives one row; without a license its columns are null and its count 0. Ties go to the longer template, then to the name first in order.
+Of notices of one license that overlap the one with more matched words counts. Nulls count as empty texts. Every row gives one row, repeated rows too; without a license its columns are null, its counts 0 and its lists empty; an empty table gives none. The best license is that of the highest coverage; ties go to the longer template, then to the name first in order. Columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,6 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "All rights reserved."),
 ]
-KEYS = (
-    "licensed license licenses apache mit gnu mozilla cc nc sa released creative commons copyright permission permitted redistribute redistribution "
-    "software modification modify rights reserved attribution waived hereby granted restriction documentation obtaining compliance program published foundation subject terms binary forms conditions extent neighboring"
-)
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -98,83 +95,88 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 @dataclass
 class Scanner:
     templates: list[tuple[str, str]] = field(default_factory=lambda: TEMPLATES)
-    keys: str = KEYS
     least: float = MIN_COVERAGE
 
     def __post_init__(self):
-        self.key_set = set(words(self.keys))
-        self.items = []
-        for name, text in self.templates:
-            w = words(text)
-            if not w or sum(x not in self.key_set for x in w) >= self.least * len(w):
-                raise ValueError(f"a text could reach the coverage of {name} without any key word: {text}")
-            self.items.append((name, w, {x for x in w if x in self.key_set}))
-
-    def parts(self, w: list[bytes], lo: int, hi: int, template: list[bytes], keys: set[bytes], at: list[int]) -> list[tuple[int, int]]:
-        """The windows to align: ``lo`` to ``hi``, and where a key word is repeated in it those around single notices. Windows that hold too few of the template's words are left out."""
-        n, own = len(template), Counter(template)
-
-        def could(seen: Counter) -> bool:
-            return sum(min(c, seen[x]) for x, c in own.items()) >= self.least * n
-
-        seen = Counter(w[lo:hi])
-        if not could(seen):
-            return []
-        out = [(lo, hi)]
-        if all(seen[k] <= own[k] for k in keys):
-            return out
-        places: dict[bytes, list[int]] = {}
-        for j, x in enumerate(template):
-            places.setdefault(x, []).append(j)
-        starts = sorted({max(0, i - j) for i in at for j in places[w[i]]})
-        ends = sorted({min(len(w), i - j + n) for i in range(lo, hi) if w[i] in keys for j in places[w[i]]})
-        spare = n // 4
-        for x in starts:
-            for y in ends:
-                if n - spare <= y - x <= n + spare and could(Counter(w[x:y])):
-                    out.append((x, y))
-        return out
+        self.items = [(name, w, Counter(w)) for name, w in ((name, words(text)) for name, text in self.templates) if w]
+
+    def windows(self, places: list[int], w: list[bytes], own: Counter, need: int, size: int, start: int) -> tuple[int, int] | None:
+        """Of the first windows of ``size`` words that hold ``need`` words of a template, the one that holds most; ``places``: where the template's words stand, from ``start`` on."""
+        seen: dict[bytes, int] = {}
+        held = best = 0
+        found, left = None, start
+        for right in range(start, len(places)):
+            if found and places[right] - places[found[0]] >= size:
+                break
+            x = w[places[right]]
+            seen[x] = seen.get(x, 0) + 1
+            held += seen[x] <= own[x]
+            while places[right] - places[left] >= size:
+                y = w[places[left]]
+                held -= seen[y] <= own[y]
+                seen[y] -= 1
+                left += 1
+            if held >= need and held > best:
+                best, found = held, (left, right)
+        return found
+
+    def notices(self, w: list[bytes], template: list[bytes], own: Counter, lo: int, hi: int, size: int) -> Iterator[tuple[int, int, int]]:
+        """(words matched, first word, word after the last) of notices in ``w[lo:hi]``, from left to right."""
+        need = ceil(self.least * len(template) - 1e-9)
+        places = [i for i in range(lo, hi) if w[i] in own]
+        start = 0
+        while found := self.windows(places, w, own, need, size, start):
+            x, y = places[found[0]], places[found[1]] + 1
+            pairs = align(w[x:y], template)
+            if len(pairs) >= need:
+                yield len(pairs), x + pairs[0][0], x + pairs[-1][0] + 1
+                start = bisect_left(places, x + pairs[-1][0] + 1)
+            else:
+                start = found[0] + 1
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, word after the last) of each license found, best first."""
+        """(license, coverage, first word, word after the last) of each notice, best first."""
         w = words(text)
-        if self.key_set.isdisjoint(w):
-            return []
-        keyed = [i for i, x in enumerate(w) if x in self.key_set]
-        found: dict[str, tuple[float, int, int, int]] = {}
-        for name, template, keys in self.items:
+        there = set(w)
+        found: dict[str, list[tuple[int, int, int, int]]] = {}
+        for name, template, own in self.items:
             n = len(template)
-            at = [i for i in keyed if w[i] in keys]
-            start = 0
-            while start < len(at):
-                end = start + 1
-                while end < len(at) and at[end] - at[end - 1] <= n and at[end] - at[start] <= 2 * n:
-                    end += 1
-                lo, hi = max(0, at[start] - n), min(len(w), at[end - 1] + n + 1)
-                for x, y in self.parts(w, lo, hi, template, keys, at[start:end]):
-                    pairs = align(w[x:y], template)
-                    cover = len(pairs) / n
-                    if cover >= self.least:
-                        found[name] = max(found.get(name, (0.0, 0, 0, 0)), (cover, n, -(x + pairs[0][0]), x + pairs[-1][0] + 1))
-                start = end
-        return [(name, c, -a, b) for name, (c, n, a, b) in sorted(found.items(), key=lambda f: (-f[1][0], -f[1][1], f[0]))]
+            if sum(own[x] for x in there.intersection(own)) < self.least * n - 1e-9:
+                continue
+            near = list(self.notices(w, template, own, 0, len(w), n + n // 4 + 2))
+            gaps = zip([0, *(b for _, _, b in near)], [*(a for _, a, _ in near), len(w)], strict=True)
+            wide = [x for lo, hi in gaps for x in self.notices(w, template, own, lo, hi, 2 * n)]
+            found.setdefault(name, []).extend((m, n, a, b) for m, a, b in near + wide)
+        out = []
+        for name, spans in found.items():
+            taken: list[tuple[int, int]] = []
+            for m, n, a, b in sorted(spans, key=lambda x: (-x[0], x[1], x[2])):
+                k = bisect_left(taken, (a, b))
+                if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                    taken.insert(k, (a, b))
+                    out.append((-m / n, -n, name, a, b))
+        return [(name, -c, a, b) for c, _, name, a, b in sorted(out)]
 
 
 def scan_licenses(df: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, coverage, first_word, end_word of the best match, licenses (all, best first) and n_licenses; no shuffle."""
+    """doc_id; license, coverage, first_word and end_word of the best notice; licenses (names, best first) and n_licenses; notices (name:first:end by first word) and n_notices. No shuffle."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanner = scanner or Scanner()
-    names = ["doc_id", "license", "coverage", "first_word", "end_word", "licenses", "n_licenses"]
+    names = ["doc_id", "license", "coverage", "first_word", "end_word", "licenses", "n_licenses", "notices", "n_notices"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scanner.scan(t or "") for t in batch.column(1).to_pylist()]
             best = [f[0] if f else (None, None, None, None) for f in found]
             arrays = [pa.array([b[k] for b in best], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array([",".join(x[0] for x in f) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int32())], names)
+            kinds = [list(dict.fromkeys(x[0] for x in f)) for f in found]
+            spans = [",".join(f"{name}:{a}:{b}" for a, b, name in sorted((a, b, name) for name, _, a, b in f)) for f in found]
+            arrays += [pa.array([",".join(k) for k in kinds], pa.string()), pa.array([len(k) for k in kinds], pa.int32()), pa.array(spans, pa.string()), pa.array([len(f) for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
-    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word int, end_word int, licenses string, n_licenses int")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word int, end_word int, licenses string, n_licenses int, notices string, n_notices int")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))

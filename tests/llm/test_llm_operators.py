@@ -109,7 +109,8 @@ def test_licenses(spark, awkward, documents):
     assert s.scan(" ".join(w for i, w in enumerate(long) if i % 9))[0][0] == "MIT"
     assert s.scan("the license of the software is not stated here, ask the author") == []
     got = {r.doc_id: r for r in licenses.scan_licenses(awkward).collect()}
-    assert len(got) == len({r[0] for r in AWKWARD}) and all(r.n_licenses == 0 for r in got.values())
+    assert len(got) == len({r[0] for r in AWKWARD}) and all(r.n_licenses == r.n_notices == 0 and r.notices == r.licenses == "" for r in got.values())
+    assert licenses.scan_licenses(awkward.where("false")).collect() == []
     rows = documents.collect()
     found = {r.doc_id: r.license for r in licenses.scan_licenses(documents).collect()}
     for r in rows:

@@ -21,26 +21,40 @@ CHAIN = 2
 ANCHORS = "the is was are that it le la les des est une der die das und ist ein el los las una es del".split()
 OTHER_COMMON = "a an and of to in on at by for with from as be this or un du de et en que qui dans pour sur au par den dem des zu von mit auf nicht sich auch im y se no con por para al o".split()
 BUCKET = 256
-#: A chain looks past this many common words in a row at most, which keeps runs of common words linear; the word behind them then takes the place of a content word.
-MOST_SKIPPED = 50
 
 
 def _likes(words: list[str]) -> str:
     return "|".join(sorted(set(words)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signatures(text: Column) -> Column:
-    """The sorted array of distinct 32-bit signature hashes."""
-    whole_text = plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    common = _likes(ANCHORS + OTHER_COMMON)
-    plain = F.regexp_replace(plain, f" ({common})(?: \\1(?= ))++(?= )", " $1")  # a common word repeated at once adds no signature, but each repetition would be scanned
-    skip = f"(?:(?:{common}) ){{0,{MOST_SKIPPED}}}+"
-    chain = f" (?=((?:{_likes(ANCHORS)}) {skip}[^ ]++" + f" {skip}[^ ]++" * (CHAIN - 1) + "))"
-    raw = F.regexp_extract_all(plain, F.lit(chain), 1)
-    skipped = f"(?<=.) (?:{common})(?= )"
-    found = F.array_distinct(F.transform(raw, lambda s: F.hash(F.regexp_replace(s, skipped, ""))))
-    whole = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(whole_text)))
-    return F.sort_array(F.when(F.size(found) > 0, found).otherwise(whole))
+    """The sorted array of distinct 32-bit signature hashes.
+
+    The text becomes one line for each content word, with the anchors up to the next content word behind it, so that every step takes time in proportion to the text, however many common words stand in a row.
+    """
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    others = [w for w in OTHER_COMMON if w not in ANCHORS]
+    lines = F.regexp_replace(F.concat(F.lit("-"), plain), f" (?:{_likes(others)})(?= )", "")
+    lines = F.split(F.regexp_replace(lines, f" (?!(?:{_likes(ANCHORS)}) )(?=[^ ])", "\n"), "\n")
+
+    def of_lines(lines: Column) -> Column:
+        anchors = F.transform(lines, lambda x: F.when(F.instr(x, " ") > 0, F.array_distinct(F.filter(F.slice(F.split(x, " "), 2, F.length(x)), lambda y: y != ""))).otherwise(F.array().cast("array<string>")))
+        return _let(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.substring_index(x, " ", 1)), lambda words: with_words(anchors, words))
+
+    def with_words(anchors: Column, words: Column) -> Column:
+        chains = words
+        for k in range(1, CHAIN):
+            chains = F.zip_with(chains, F.slice(words, F.lit(k + 1), F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.flatten(F.zip_with(anchors, chains, lambda many, chain: F.when(chain.isNotNull(), F.transform(many, lambda x: F.hash(F.concat(x, F.lit(" "), chain)))).otherwise(F.array().cast("array<int>"))))
+
+    found = F.array_distinct(_let(lines, of_lines))
+    whole = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+    return _let(found, lambda x: F.sort_array(F.when(F.size(x) > 0, x).otherwise(whole)))
 
 
 def as_text(spots: Column) -> Column:

@@ -27,11 +27,12 @@ AWKWARD = [
 def plain_signatures(text):
     low = re.sub(r"[^\w]+|_", " ", (text or "").lower()).split()
     common = set(spotsigs.ANCHORS + spotsigs.OTHER_COMMON)
-    out = set()
-    for i, w in enumerate(low):
-        chain = [x for x in low[i + 1 :] if x not in common][: spotsigs.CHAIN]
+    out, chain = set(), ()
+    for w in reversed(low):
         if w in spotsigs.ANCHORS and len(chain) == spotsigs.CHAIN:
             out.add((w, *chain))
+        if w not in common:
+            chain = (w, *chain)[: spotsigs.CHAIN]
     return out or ({tuple(low)} if low else set())
 
 

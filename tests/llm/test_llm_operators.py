@@ -37,7 +37,7 @@ def text_of(row):
 
 # ------------------------------------------------------------------ 1
 def test_spot_signatures_by_brute_force(spark, documents):
-    df = documents.where("doc_id < 60").select("doc_id", "text")
+    df = documents.select("doc_id", "text")
     got = df.select("doc_id", "text", F.size(spotsigs.signatures(F.col("text"))).alias("n")).collect()
     for r in got:
         assert r.n == len(plain_signatures(r.text))
@@ -47,6 +47,18 @@ def test_spot_signatures_by_brute_force(spark, documents):
         assert r.j == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
 
 
+def test_long_runs_of_common_words(spark):
+    """Chains look past any number of common words, in linear time."""
+    r = random.Random(20)
+    texts = ["apple the banana cherry", *("apple the " + "of " * n + "banana " + "and is " * n + "cherry" for n in (1, 50, 51, 200, 30_000)), "the " * 60_000, "the is " * 30_000 + "one two", "the of x the", " ".join(r.choice(spotsigs.ANCHORS + spotsigs.OTHER_COMMON + ["x1", "y2", "z3"]) for _ in range(20_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x for x in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert len(got[i].s) == len(plain_signatures(t)), i
+    apple = set(got[0].s)
+    assert len(apple) == 1 and all(apple <= set(got[i].s) for i in range(1, 6))
+
+
 def check_edits(rows, got):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     wanted = defaultdict(list)

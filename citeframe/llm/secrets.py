@@ -4,7 +4,7 @@ Base spans, per kind leftmost and non-overlapping: ``assign`` (a password, secre
 
 The novelty scan looks at every run of token characters of ``min_length`` or more that overlaps no base span and has a sensitive word shortly before it. A zstandard compressor is primed with a dictionary of identifiers and the text around the candidate; the candidate's marginal size is what it adds to the compressed size of nothing. Strings that mix letters with digits and stay incompressible are added as spans of kind ``novel``: at ``min_ratio`` compressed bytes a byte or more, or at what a random string of their length over their own alphabet needs, if that is less (``bound``). Other occurrences of the candidate's value are left out of the text around it, and a candidate that holds a novel string is novel too. Base spans are never removed.
 
-Offsets are code points, end exclusive. Null counts as empty text; rows without spans have counts of zero and empty strings.
+Offsets are code points, end exclusive. Null counts as empty text; rows without spans have counts of zero and empty strings. Repeated rows give repeated output rows, an empty table none; columns other than those named are not looked at, and ``redact`` keeps them whatever their names. The time is in proportion to the text and its candidates, however many spans a text has.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -79,9 +82,12 @@ def _without(text: str, value: str) -> str:
 
 def novel_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], min_ratio: float, context: int, around: int) -> list[tuple[int, int, int]]:
     open_, novel = [], set()
+    starts = [a for a, _, _ in base]
+    furthest = list(accumulate((b for _, _, b in base), max))  # the furthest end among the base spans so far
     for start, end in runs:
         run = text[start:end]
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(a < end and start < b for a, _, b in base):
+        before_end = bisect_left(starts, end)  # base spans that begin before the run ends
+        if before_end and furthest[before_end - 1] > start or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
         before = text[max(0, start - context) : start].rpartition("\n")[2]
         if not SENSITIVE.search(before):
@@ -93,7 +99,13 @@ def novel_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, in
         if novelty(run, near) >= min(min_ratio, bound(run)):
             novel.add(value)
         open_.append((start, end))
-    return [(start, 3, end) for start, end in open_ if any(v in text[start:end] for v in novel)]
+    if not novel:
+        return []
+    known = ahocorasick.Automaton()
+    for value in novel:
+        known.add_word(value, value)
+    known.make_automaton()
+    return [(start, 3, end) for start, end in open_ if any(True for _ in known.iter(text, start, end))]
 
 
 def scan(text: str, min_length: int = 16, min_ratio: float = 0.8, context: int = 48, around: int = 1000) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -156,4 +168,5 @@ def redact(df: DataFrame, text_col: str = "text", replacement: str = "[REDACTED]
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
     return find_secrets(table(spark, sf_dir, "documents"))

@@ -4,15 +4,17 @@ A rule is a host with a path prefix; it fits its host and all subdomains where t
 
 Matching is done once for each distinct (host, path), so a URL that fills a third of the table is expanded once.
 
-Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the end. Null or no ``://``: both empty. URLs that no rule fits get the method's verdict: block without a host, else ``default``. Repeated rows give repeated output rows.
+Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the end. Null or no ``://``: both empty. URLs that no rule fits get the method's verdict: block without a host, else ``default``. Repeated rows give repeated output rows, empty tables none; without rules every URL gets the method's verdict. Rules without a verdict, a host or a path are left out. Columns other than those named are not looked at.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 #: The rules of the query: verdict, host, path.
 RULES = [
@@ -51,26 +53,22 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     known = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).where("verdict is not null and rule_host <> '' and rule_path is not null")
     known = known.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     labels = F.size(F.split("rule_host", r"\."))
-    shapes = [(r.labels, r.length) for r in known.select(labels.alias("labels"), F.length("rule_path").alias("length")).distinct().orderBy("labels", "length").collect()]
-    if not shapes:
-        shapes = [(1, 0)]
-    spread = F.explode(
-        F.filter(
-            F.array(*(F.when((F.size(F.split("host", r"\.")) >= n) & (F.length("path") >= k), F.struct(F.substring_index("host", ".", -n).alias("suffix"), F.substring("path", 1, k).alias("part"))) for n, k in shapes)),
-            lambda x: x.isNotNull(),
-        )
-    )
+    shapes = sorted({(r.labels, r.length) for r in known.select(labels.alias("labels"), F.length("rule_path").alias("length")).distinct().collect()})
+    shape = F.from_json(F.lit(json.dumps([{"labels": n, "length": k} for n, k in shapes])), "array<struct<labels: int, length: int>>")  # one literal, so that the plan is as small for many rules as for few
+    fitting = F.filter(shape, lambda s: (F.size(F.split("host", r"\.")) >= s["labels"]) & (F.length("path") >= s["length"]))
+    spread = F.explode(F.transform(fitting, lambda s: F.struct(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]).alias("suffix"), F.substring(F.col("path"), F.lit(1), s["length"]).alias("part"))))
     expressions = urls.where("host <> ''").select("host", "path").distinct().select("host", "path", spread.alias("x")).select("host", "path", _digest(F.col("x.suffix"), F.col("x.part")).alias("seen"))
     met = expressions.withColumn("prefix", F.substring("seen", 1, PREFIX_HEX)).join(known, "prefix")
     met = met.where((F.col("seen") == F.col("digest")) & ((F.col("host") == F.col("rule_host")) | F.endswith("host", F.concat(F.lit("."), F.col("rule_host")))) & F.startswith("path", F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     order = F.struct(F.length(rule), F.length("rule_host"), (F.col("verdict") == "block").cast("int"), rule)
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), order).alias("best"))
+    best = written(met.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), order).alias("best")))  # so that both sides of the last join are plain exchanges, which AQE can split where one URL, or those without a host, fill a partition
     verdict = F.coalesce("best.verdict", F.when(F.col("host") == "", F.lit("block")).otherwise(F.lit(default)))
     return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
     return judge(table(spark, sf_dir, "pages"), rules_table(spark))
 
 

@@ -438,6 +438,7 @@ def test_urls_by_brute_force(spark, sf):
     r = random.Random(10)
     urls = [None, "", "no scheme", "http://", "http://org", "HTTP://ORG/", "http://a.ORG/x", "http://example.org/es/1?x=://y", "https://www.Example.org/en/12#f", "http://notexample.org/es/", "http://x.com/fr/", "http://com/de/", "http://x.com?/fr/", "http://..org/", "a://b://c.org/d", "http://é.com/fr/é"]
     urls += ["".join(r.choice(["http://", "org", "com", ".", "/", "es", "en", "fr", "de", "1", "example", "?", "#", "X"]) for _ in range(r.randint(1, 12))) for _ in range(800)]
+    urls += ["http://" + "a." * 20_000 + "org/" + "x" * 50_000, "http://example.org/en/1" + "/y" * 40_000, "x" * 100_000]
     rows = [(i % 500, u) for i, u in enumerate(urls + urls[:20])] + [(None, "http://a.org/")]
     df = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("verdict", F.lit("clash"))
     got = url_filter.judge(df, url_filter.rules_table(spark)).collect()

@@ -24,7 +24,7 @@ from .shared import in_batches, in_slices, table
 LONG = 64
 CELLS = 1 << 19
 #: Distinct pieces remembered by a worker before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 
 

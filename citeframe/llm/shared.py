@@ -47,8 +47,8 @@ def forget(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Bytes of an Arrow batch: a few megabytes on both sides of the worker's pipe whatever the length of texts (a batch holds one row at least).
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch: about a megabyte on both sides of the worker's pipe whatever the length of texts (a batch holds one row at least).
+BATCH_BYTES = 1 << 20
 
 
 def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:

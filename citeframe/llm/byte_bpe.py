@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashtable import HashTable
-from .shared import in_batches, in_slices, table
+from .shared import in_batches, in_slices, kept, table
 
 LONG = 64
 CELLS = 1 << 19
@@ -160,10 +159,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of_text.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> ByteBpe:
-    """A worker keeps its encoder between tasks."""
-    return ByteBpe.from_file(path, pattern)
+    return kept((path, pattern), lambda: ByteBpe.from_file(path, pattern))
 
 
 def _public() -> tuple[str, str]:

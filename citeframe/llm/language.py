@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashtable import HashTable
-from .shared import held_out, in_batches, in_slices, table, written
+from .shared import held_out, in_batches, in_slices, kept, table, written
 
 BLOCK = 256
 CLASSES = 64  # 0 a run of anything but letters and marks, 1 other letters of the samples, 2 letters of no sample, last: padding
@@ -213,10 +213,8 @@ class CrossParser:
         return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0).tolist()
 
 
-@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    """A worker keeps its automata between tasks."""
-    return CrossParser(samples)
+    return kept(samples, lambda: CrossParser(samples))
 
 
 def training_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 60, sample_doc_chars: int = 6000, sample_chars: int = 40_000) -> tuple[tuple[str, str], ...]:

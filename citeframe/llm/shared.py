@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +65,26 @@ def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) ->
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(partial(_and_trim, run), schema)
+
+
+def _and_trim(run: Callable[[Iterator], Iterator], batches: Iterator) -> Iterator:
+    """``run``, after which the worker, which lives on, gives freed memory back."""
+    yield from run(batches)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library cannot
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_kept: dict = {}
+
+
+def kept(key, build: Callable):
+    """What ``build`` makes for ``key``; a worker keeps it between tasks, but only the last of all operators."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
 
 def in_slices(texts: list, chars: int = 2_000_000):

@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashtable import HashTable
-from .shared import in_batches, in_slices, table
+from .shared import in_batches, in_slices, kept, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
 REMEMBERED = 300_000
@@ -121,10 +120,8 @@ class LongestMatch:
         return [len(words) for words in cut], [sum(map(get, words)) for words in cut]
 
 
-@lru_cache(maxsize=2)
 def automaton(path: str) -> LongestMatch:
-    """A worker keeps its automaton between tasks."""
-    return LongestMatch.from_rank_file(path)
+    return kept((LongestMatch, path), lambda: LongestMatch.from_rank_file(path))
 
 
 def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

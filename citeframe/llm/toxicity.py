@@ -27,6 +27,8 @@ BUCKETS = 1 << 20
 PREFIX = 5
 REMEMBERED = 500_000
 TOXIC_AT = 0.7
+#: Features that training looks at together.
+PART = 500_000
 
 
 def features(text: str) -> set[bytes]:
@@ -86,24 +88,64 @@ def _adam(theta: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, labels:
                 t -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
 
 
-def _interacting(at: np.ndarray, owner: np.ndarray, error: np.ndarray, n: np.ndarray, probes: int, powers: int, sigmas: float, least: float, random: np.random.Generator) -> np.ndarray:
-    """Terms that stand out in the strongest directions of X' diag(error) X without its diagonal, X being rows by terms."""
-    rows, n_terms = len(error), len(n)
-    scale = 1 / np.sqrt(n * (error**2).mean() + least)
-    own = np.bincount(at, error[owner], n_terms)
-
-    def times(u: np.ndarray) -> np.ndarray:
-        return np.bincount(at, (error * np.bincount(owner, u[at], rows))[owner], n_terms) - own * u
-
-    directions = random.normal(size=(n_terms, probes))
-    for _ in range(powers):
-        directions = np.linalg.qr(np.column_stack([scale * times(scale * u) for u in directions.T]))[0]
-    out = np.zeros(n_terms, bool)
-    for u in (scale * d for d in directions.T):
-        parts = (error * np.bincount(owner, u[at], rows))[owner] - error[owner] * u[at]
-        total, spread = np.bincount(at, parts, n_terms), np.sqrt(np.bincount(at, parts**2, n_terms))
-        out |= (np.abs(total) > least * np.abs(u).max()) & (np.abs(total) > sigmas * spread)
-    return out
+class _Rows:
+    """Rows of terms, with the terms numbered; looked at in parts of about ``PART`` features, so that what a pass holds beside the rows is small."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        flat = np.concatenate([np.empty(0, np.int32), *rows])
+        n = np.bincount(flat, minlength=BUCKETS)
+        self.terms = np.flatnonzero(n)
+        self.n = n[self.terms].astype(np.float64)
+        self.at = (np.cumsum(n > 0) - 1).astype(np.int32)[flat]
+        self.sizes = np.array([len(r) for r in rows])
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, their features one after another, the row of each feature within the part)."""
+        low = 0
+        while low < len(self.sizes):
+            high = max(low + 1, int(np.searchsorted(self.starts, self.starts[low] + PART, "right")) - 1)
+            yield slice(low, high), self.at[self.starts[low] : self.starts[high]], np.repeat(np.arange(high - low), self.sizes[low:high])
+            low = high
+
+    def chosen(self, moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features that are moving, numbered among themselves, and how many each row has."""
+        place, found, sizes = np.cumsum(moving) - 1, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for rows, at, owner in self.parts():
+            there = moving[at]
+            found.append(place[at[there]])
+            sizes.append(np.bincount(owner[there], minlength=rows.stop - rows.start))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.n))
+        for rows, at, owner in self.parts():
+            out += np.bincount(at, error[rows][owner], len(out))
+        return out
+
+    def interacting(self, error: np.ndarray, probes: int, powers: int, sigmas: float, least: float, random: np.random.Generator) -> np.ndarray:
+        """Terms that stand out in the strongest directions of X' diag(error) X without its diagonal, X being rows by terms."""
+        scale = 1 / np.sqrt(self.n * (error**2).mean() + least)
+        own = self.gradient(error)
+
+        def times(u: np.ndarray) -> np.ndarray:
+            out = -own * u
+            for rows, at, owner in self.parts():
+                out += np.bincount(at, (error[rows] * np.bincount(owner, u[at], rows.stop - rows.start))[owner], len(u))
+            return out
+
+        directions = random.normal(size=(len(self.n), probes))
+        for _ in range(powers):
+            directions = np.linalg.qr(np.column_stack([scale * times(scale * u) for u in directions.T]))[0]
+        found = np.zeros(len(self.n), bool)
+        for u in (scale * d for d in directions.T):
+            total, spread = np.zeros(len(u)), np.zeros(len(u))
+            for rows, at, owner in self.parts():
+                share = (error[rows] * np.bincount(owner, u[at], rows.stop - rows.start))[owner] - error[rows][owner] * u[at]
+                total += np.bincount(at, share, len(u))
+                spread += np.bincount(at, share**2, len(u))
+            found |= (np.abs(total) > least * np.abs(u).max()) & (np.abs(total) > sigmas * np.sqrt(spread))
+        return found
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, sigmas: float = 4.0, least: float = 4.0, pair_sigmas: float = 6.0, pair_least: float = 10.0, rounds: int = 6, steps: int = 300, batch: int = 512, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> FactorizationMachine:
@@ -113,28 +155,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, sigmas: fl
         return FactorizationMachine(-50.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
     random = np.random.default_rng(seed)
     base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    terms_, at = np.unique(np.concatenate([np.empty(0, np.int32), *rows]), return_inverse=True)
-    n = np.bincount(at, minlength=len(terms_)).astype(np.float64)
-    bias, weights, vectors, moving = np.array([np.log(base / (1 - base))]), np.zeros(len(n)), np.zeros((len(n), factors)), np.zeros(len(n), bool)
-    for _ in range(rounds if len(n) else 0):
-        place = np.cumsum(moving) - 1
-        chosen = moving[at]
-        model = FactorizationMachine(float(bias[0]), terms_[moving], weights[moving], vectors[moving])
-        error = labels - model.scores(place[at[chosen]], np.bincount(owner[chosen], minlength=len(rows)))
-        gradient = np.bincount(at, error[owner], len(n))
-        new = np.abs(gradient) > sigmas * np.sqrt(n * (error**2).mean()) + least
-        new = (new | _interacting(at, owner, error, n, 2, 4, pair_sigmas, pair_least, random)) & ~moving
+    held = _Rows(rows)
+    size = len(held.n)
+    bias, weights, vectors, moving = np.array([np.log(base / (1 - base))]), np.zeros(size), np.zeros((size, factors)), np.zeros(size, bool)
+    for _ in range(rounds if size else 0):
+        error = labels - FactorizationMachine(float(bias[0]), held.terms[moving], weights[moving], vectors[moving]).scores(*held.chosen(moving))
+        new = np.abs(held.gradient(error)) > sigmas * np.sqrt(held.n * (error**2).mean()) + least
+        new = (new | held.interacting(error, 2, 4, pair_sigmas, pair_least, random)) & ~moving
         if not new.any():
             break
         moving |= new
         vectors[new] = random.normal(0, 0.05, (int(new.sum()), factors))
-        place, chosen = np.cumsum(moving) - 1, moving[at]
         theta = [bias, weights[moving], vectors[moving]]
-        _adam(theta, place[at[chosen]], np.bincount(owner[chosen], minlength=len(rows)), labels, steps, batch, rate, shrink, random)
+        _adam(theta, *held.chosen(moving), labels, steps, batch, rate, shrink, random)
         bias, weights[moving], vectors[moving] = theta
-    return FactorizationMachine(float(bias[0]), terms_[moving].astype(np.int32), weights[moving], vectors[moving])
+    return FactorizationMachine(float(bias[0]), held.terms[moving].astype(np.int32), weights[moving], vectors[moving])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_terms: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> FactorizationMachine:
@@ -149,8 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "label", "terms"])
 
     one = in_batches(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
-    got = sorted(one.collect(), key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.label > 0 for r in got]), **how)
+    got = one.toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(t, np.int32) for t in got["terms"].to_pylist()], np.array([x > 0 for x in got["label"].to_pylist()]), **how)
 
 
 class _Cache(dict):

@@ -11,7 +11,8 @@ import corpus_pipeline
 import public_tokenizers as P
 from citeframe.llm import decontaminate, language, secrets
 from citeframe.llm.words import words
-from llm_plain import AWKWARD, KIND, classes, plain_base, plain_fingerprint
+from llm_plain import AWKWARD, KIND, plain_base
+from test_near_copies import wanted as near_representatives
 
 
 def brute_force(spark, docs, bench):
@@ -19,18 +20,8 @@ def brute_force(spark, docs, bench):
     parser = language.CrossParser(samples)
     rows = [r.asDict() for r in docs.select(corpus_pipeline.COLUMNS).collect()]
     rows = [r | {"lang": parser.predict([r["text"]])[0][0]} for r in rows if r["text"] and any(c.isalpha() for c in r["text"])]
-    fps = {id(r): plain_fingerprint(r["text"]) for r in rows}
-    group = {n: i for i, g in enumerate(classes(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 2)) for n in g}
-    lowest = {}
-    for r in rows:
-        g = group[fps[id(r)]]
-        if g not in lowest or (r["doc_id"] is not None and (lowest[g] is None or r["doc_id"] < lowest[g])):
-            lowest[g] = r["doc_id"]
-    kept, seen = [], set()
-    for r in rows:
-        if r["doc_id"] == lowest[group[fps[id(r)]]] and r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            kept.append(r)
+    keep = near_representatives([(r["doc_id"], r["text"]) for r in rows])
+    kept = [r for r in rows if r["doc_id"] in keep]
     items = [(words(b.text), decontaminate.answer_words(b.text)) for b in bench.collect() if words(b.text or "")]
 
     def leaks(text):

@@ -30,14 +30,23 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER, F.lit(True))
 
 
+#: Deletes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
-    This cuts the lineage so that a lost executor costs a reread and not a recomputation, and gives Catalyst the true size of the table for its choice between broadcast and shuffle joins.
+    This cuts the lineage so that a lost executor costs a reread and not a recomputation, and gives Catalyst the true size of the table for its choice between broadcast and shuffle joins. The shuffle files of the write go once it is done: the table takes their place.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/citeframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -188,7 +188,7 @@ def bm25_topk(spark, sf):
 
 @query
 def hash_features(spark, sf):
-    return I.hashed(units(spark, sf), ["doc_id"])
+    return I.hashed(units(spark, sf), ["doc_id"]).select("doc_id", F.inline("terms"))
 
 
 @query

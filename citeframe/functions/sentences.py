@@ -1,4 +1,4 @@
-"""Sentence splitting as a fold over pieces, without Python."""
+"""Sentence splitting without Python, linear in the length of a text."""
 
 from __future__ import annotations
 
@@ -22,14 +22,7 @@ def split_sentences(text: Column, min_chars: int = 3) -> Column:
     """Sentences of ``text``: cut behind ``. ! ?`` (closing quotes and brackets go with the cut), rejoined after abbreviations, then cut at bullets."""
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     pieces = F.split(F.regexp_replace(clean, r"([.!?])[\"')\]]*\s+", "$1" + _CUT), _CUT)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state: Column, piece: Column) -> Column:
-        held = F.when(state["open"] == "", piece).otherwise(F.concat(state["open"], F.lit(" "), piece))
-        more = _unfinished(held)
-        return F.struct(F.when(more, state["done"]).otherwise(F.concat(state["done"], F.array(held))).alias("done"), F.when(more, held).otherwise(F.lit("")).alias("open"))
-
-    whole = F.aggregate(pieces, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    whole = F.split(F.array_join(F.transform(pieces, lambda p: F.concat(p, F.when(_unfinished(p), F.lit(" ")).otherwise(F.lit(_CUT)))), ""), _CUT)
     bullets = rf"(?:^|\s)[{re.escape(K.BULLETS)}]\s+"
     parts = F.flatten(F.transform(whole, lambda s: F.split(s, bullets)))
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= min_chars)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= min_chars)

@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions; all stay inside the JVM."""
+"""Scalar text functions as Column expressions; all stay inside the JVM, but for the comparison of texts that are not ASCII."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .unicode import fold_punctuation
 
 MARKER = r"\[\s*[Ss]?\s*(\d+(?:\s*[,;/]\s*[Ss]?\s*\d+)*)\s*\]"
 MARKER_GROUP = r"(?:\[\s*[Ss]?\s*\d+(?:\s*[,;/]\s*[Ss]?\s*\d+)*\s*\]\s*)+"
@@ -50,14 +51,9 @@ def is_heading(text: Column) -> Column:
     return F.coalesce(fits & ~clause_end & (structural | (caps_ratio(body) >= 0.6)), F.lit(False))
 
 
-def fold_ascii(text: Column) -> Column:
-    """Typographic dashes, quotes and spaces as ASCII; compatibility composition (NFKC) needs ``unicode.fold_punctuation``."""
-    out = F.translate(F.coalesce(text, F.lit("")), K.DASHES + K.APOSTROPHES + K.QUOTES + K.SPACES + K.DELETED, "-" * len(K.DASHES) + "'" * len(K.APOSTROPHES) + '"' * len(K.QUOTES) + " " * len(K.SPACES))
-    return F.replace(out, F.lit("…"), F.lit("..."))
-
-
 def normalise_for_compare(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(fold_ascii(text)), r"\s+", " "))
+    """Compatibility composition, typographic characters as ASCII, lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(fold_punctuation(text)), r"\s+", " "))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -74,6 +74,8 @@ def test_folding(spark):
     assert one(spark, fold_punctuation, "lock‑in “x” months’ a b … ﬁ") == 'lock-in "x" months\' a b ... fi'
     assert one(spark, X.contains_phrase, "The  LOCK‑IN period", "lock-in period") is True
     assert one(spark, X.contains_phrase, "anything", "  ") is False
+    assert one(spark, X.contains_phrase, "the ﬁnal oﬀer of ２０ ㎏", "FINAL offer of 20 kg") is True
+    assert one(spark, X.contains_phrase, "café", "cafe\u0301") is True
 
 
 def test_query_normalisation(spark):
@@ -137,3 +139,8 @@ def test_best_window():
     score, lo, hi = fuzzy.best_window("tenant shall pay the monthly rent in advance by the fifth day", lines)
     assert (lo, hi) == (1, 3) and score > 0.9
     assert fuzzy.best_window("x", []) == (0.0, -1, -1)
+
+
+def test_sentences_keep_leading_digits(spark):
+    rows = spark.createDataFrame([("One stands first. 1 apple falls here. 2 pears fall too, says Dr.",)], "t string")
+    assert rows.select(split_sentences(F.col("t"))).first()[0] == ["One stands first.", "1 apple falls here.", "2 pears fall too, says Dr."]

@@ -367,6 +367,30 @@ def recent_sessions(spark, sf):
     return H.recent_sessions(H.sessions(messages(spark, sf)))
 
 
+@query
+def sessions_with_empty(spark, sf):
+    """All sessions with their number of system messages, which most have none of."""
+    m = messages(spark, sf)
+    return H.with_empty(m.select("session_id").distinct(), m.where("role = 'system'"))
+
+
+@query
+def citation_paths(spark, sf):
+    """Labelled documents with a path: the source where the registry, of English documents, has them."""
+    known = load(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("path"))
+    return H.with_paths(load(spark, sf, "labels").select("doc_id"), known, "files")
+
+
+@query
+def located_facts(spark, sf):
+    """The lines of each document that best support each of its salient facts."""
+    docs = units(spark, sf)
+    chunks = chunks_of(docs)
+    facts = S.salient_facts(docs, "doc_id").select(F.col("doc_id").alias("own"), "sentence_no", F.col("sentence").alias("claim"))
+    held = facts.join(chunks.select(F.col("doc_id").alias("own"), "chunk_id"), "own")
+    return S.locate(held, chunks, L.lines_of(docs), "own", "sentence_no").drop("own").withColumn("score", F.round("score", 6))
+
+
 @query
 def history_pairs(spark, sf):
     return H.pairs(messages(spark, sf), 3)
@@ -492,6 +516,14 @@ def ranking_metrics(spark, sf):
     return E.ranking_metrics(_cases(spark, sf))
 
 
+@query
+def answer_metrics(spark, sf):
+    """Answer metrics of cases made of the labels."""
+    d = F.col("doc_id")
+    cases = load(spark, sf, "labels").select(F.when(d % 5 == 0, E.OUT).otherwise("in_corpus").alias("category"), (F.col("quality") == 1).alias("answer_hit"), (F.col("toxic") == 0).alias("citation_correct"), (d % 10 / 10.0).alias("groundedness"), (d % 7 == 0).alias("refused"))
+    return E.answer_metrics(cases)
+
+
 @query
 def refusal_metrics(spark, sf):
     return E.refusal_metrics(_cases(spark, sf))

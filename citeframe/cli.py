@@ -52,9 +52,19 @@ def _quiz(e: Engine, a: argparse.Namespace) -> None:
         print(f"{r.question}\n  {r.answer}")
 
 
+def _explain(e: Engine, a: argparse.Namespace) -> None:
+    documents = [e.resolve(d) for d in a.doc] or None
+    for r in e.explain(e.spark.createDataFrame([(1, a.topic)], "query_id bigint, topic string"), a.level, None, documents).collect():
+        print(r.answer)
+
+
+def _reset(e: Engine, a: argparse.Namespace) -> None:
+    e.reset()
+
+
 def _sessions(e: Engine, a: argparse.Namespace) -> None:
-    for r in e.table("sessions").orderBy(F.col("created_at").desc()).collect():
-        print(r.session_id, r.title)
+    for r in e.sessions().collect():
+        print(r.session_id, r.title, f"({r.n_messages} messages)")
 
 
 def _history(e: Engine, a: argparse.Namespace) -> None:
@@ -79,6 +89,8 @@ COMMANDS: dict[str, tuple[Callable[[Engine, argparse.Namespace], None], list[tup
     "docs": (_docs, []),
     "topics": (_topics, [(("document",), {})]),
     "quiz": (_quiz, [(("document",), {}), (("--count",), {"type": int, "default": 10})]),
+    "explain": (_explain, [(("topic",), {}), (("--level",), {"default": "beginner"}), (("--doc",), {"action": "append", "default": []})]),
+    "reset": (_reset, []),
     "sessions": (_sessions, []),
     "history": (_history, [(("session",), {})]),
     "search": (_search, [(("text",), {})]),

@@ -13,10 +13,9 @@ from citeframe.operators import answer as A
 from citeframe.operators import history as H
 from citeframe.operators import study as S
 from citeframe.operators import understand as U
-from citeframe.operators import verify as V
 from citeframe.operators.chunking import chunks_of
 from citeframe.operators.index import hash_idf, hashed, sized_postings, unit_vectors
-from citeframe.plans.ask import Asked, Index, ask, chunk_units
+from citeframe.plans.ask import Asked, Index, Parts, ask, chunk_units
 from citeframe.session import stored, workers_find_package
 from citeframe.sources.lines import line_array, lines_of
 
@@ -32,6 +31,10 @@ SCHEMAS = {
 }
 
 
+#: Questions that ``Engine.explain`` asks, by level.
+EXPLAIN = {"beginner": "Explain {} in simple words", "exam": "Explain {} as needed for an exam"}
+
+
 class Engine:
     """``home``: a folder that driver and executors share. Tables are appended to; the index is written anew under a fresh name by ``refresh`` and replaces the old one only when it is complete."""
 
@@ -84,7 +87,12 @@ class Engine:
         latest = self.spark.read.schema("name string, at timestamp").parquet(f"{self.home}/current").orderBy(F.col("at").desc()).first()
         if latest is None:
             return self.refresh()
-        return Index(*(self.spark.read.parquet(f"{self.home}/{latest['name']}/{part}") for part in ("postings", "weights", "vectors")))
+        found = Index(*(self.spark.read.parquet(f"{self.home}/{latest['name']}/{part}") for part in ("postings", "weights", "vectors")))
+        if found.weights.count() != K.HASH_DIM:
+            raise ValueError(f"the stored index has not {K.HASH_DIM} dimensions")
+        if found.vectors.count() != self.table("chunks").select("chunk_id").distinct().count():
+            return self.refresh()  # documents came since
+        return found
 
     def documents(self) -> DataFrame:
         return self.table("registry").orderBy(F.lower("name"), "doc_id")
@@ -105,21 +113,27 @@ class Engine:
     def stats(self) -> dict:
         return {name: self.table(name).count() for name in ("registry", "lines", "chunks", "sessions", "messages")} | {"dim": K.HASH_DIM}
 
+    def reset(self) -> None:
+        """Empties all tables; the next question meets a new index."""
+        for name in SCHEMAS:
+            self.spark.createDataFrame([], SCHEMAS[name]).write.mode("overwrite").parquet(f"{self.home}/{name}")
+        self.spark.createDataFrame([], "name string, at timestamp").write.mode("overwrite").parquet(f"{self.home}/current")
+
     def latest_document(self) -> str | None:
         row = self.table("registry").orderBy(F.col("ingested_at").desc(), F.lower("name"), "doc_id").first()
         return row and row.doc_id
 
     # ------------------------------------------------------------ questions
-    def ask(self, questions: DataFrame, session_id: str | None = None, documents: list[str] | None = None, repair: bool = True) -> DataFrame:
-        """Answers questions (query_id, question): look-ups from retrieved sources, summaries and topic lists from the documents asked about (``documents``, else the latest). Adds intent; with a session the turn is stored."""
+    def ask(self, questions: DataFrame, session_id: str | None = None, documents: list[str] | None = None, repair: bool = True, final: int = K.TOP_FINAL, parts: Parts | None = None, intent: str | None = None) -> DataFrame:
+        """Answers questions (query_id, question): look-ups from retrieved sources, summaries and topic lists from the documents asked about (``documents``, else the latest), unless ``intent`` says how to take them all. Adds intent; with a session the turn is stored."""
         if questions.where("trim(coalesce(question, '')) = ''").limit(1).count():
             raise ValueError("a question is empty")
-        routed = stored(U.route(questions.withColumn("text", F.col("question"))).drop("text"))
+        routed = stored(U.route(questions.withColumn("text", F.col("question"))).drop("text").withColumn("intent", F.col("intent") if intent is None else F.lit(intent)))
         chunks, lines = self.table("chunks"), self.table("lines")
         allowed = None if documents is None else self.spark.createDataFrame([(d,) for d in documents], "doc_id string")
         lookups = routed.where("intent = 'lookup'")
         spelling = U.repair_spelling(lookups.select("query_id", F.col("question").alias("text")), U.vocabulary(chunk_units(chunks))) if repair else None
-        done = ask(lookups, None, allowed=allowed, chunks=chunks, lines=lines, index=self.index(), spelling=spelling)
+        done = ask(lookups, None, final, allowed=allowed, chunks=chunks, lines=lines, index=self.index(), spelling=spelling, parts=parts)
         rows = done.result.withColumn("intent", F.lit("lookup"))
         target = (documents or [self.latest_document()])[0]
         if target is not None:
@@ -138,14 +152,31 @@ class Engine:
             self._record(session_id, routed, rows, done)
         return rows
 
+    def explain(self, topics: DataFrame, level: str = "beginner", session_id: str | None = None, documents: list[str] | None = None) -> DataFrame:
+        """Answers for topics (query_id, topic), told for a beginner or an exam, from at least six sources."""
+        if level not in EXPLAIN:
+            raise ValueError(f"level is one of {', '.join(EXPLAIN)}")
+        before, after = EXPLAIN[level].split("{}")
+        asked = topics.select("query_id", F.when(F.trim("topic") != "", F.concat(F.lit(before), F.trim("topic"), F.lit(after))).alias("question"))
+        return self.ask(asked, session_id, documents, final=max(K.TOP_FINAL, 6), intent="lookup")
+
     def study_pack(self, documents: list[str], count: int = 10) -> dict[str, DataFrame]:
-        """Topics, fill-in and short-answer questions whose answers the text supports, and flashcards of some documents."""
+        """Topics, fill-in and short-answer questions whose answers the text supports, with the lines that do, flashcards of some documents, and counts of made, kept and rejected questions by kind."""
         chunks = self.table("chunks").where(F.col("doc_id").isin(documents))
         units = chunks.select("chunk_id", "text")
         facts = stored(S.salient_facts(units, "chunk_id"))
-        mcq = S.cloze(facts, S.fact_pool(units, "chunk_id"), "chunk_id").where(S.well_formed(F.col("question"), F.col("options"), F.col("correct_index")))
-        short = S.short_answers(units, "chunk_id").join(units, "chunk_id").withColumn("score", V.support_score("answer", "text")).where(F.col("score") >= K.GROUNDED).drop("text")
-        return {"topics": S.topics(chunks), "mcqs": mcq.orderBy("chunk_id", "sentence_no").limit(count), "short_answers": short.orderBy("chunk_id", "sentence_no").limit(count), "flashcards": S.flashcards(units, "chunk_id")}
+        cloze = S.cloze(facts, S.fact_pool(units, "chunk_id"), "chunk_id").join(facts.select("chunk_id", "sentence_no", F.col("sentence").alias("claim")), ["chunk_id", "sentence_no"])
+        made = {"mcqs": cloze, "short_answers": S.short_answers(units, "chunk_id").withColumn("claim", F.col("answer"))}
+        out, counts = {"topics": S.topics(chunks), "flashcards": S.flashcards(units, "chunk_id")}, None
+        key = ["chunk_id", "sentence_no"]
+        for kind, rows in made.items():
+            fits = S.well_formed(F.col("question"), F.col("options"), F.col("correct_index")) if kind == "mcqs" else F.lit(True)
+            places = S.locate(rows.select("*", F.col("chunk_id").alias("own")).select("own", "sentence_no", "claim", "chunk_id"), chunks, self.table("lines"), "own", "sentence_no").drop("chunk_id").withColumnRenamed("own", "chunk_id")
+            checked = stored(rows.join(places, key, "left").withColumn("kept", fits & (F.coalesce("score", F.lit(0.0)) >= K.GROUNDED)).drop("claim"))
+            out[kind] = checked.where("kept").drop("kept").orderBy(*key).limit(count)
+            n = checked.agg(F.lit(kind).alias("kind"), F.count("*").alias("made"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("rejected"))
+            counts = n if counts is None else counts.unionByName(n)
+        return out | {"stats": counts}
 
     # ------------------------------------------------------------ conversations
     def open_session(self, title: str = H.DEFAULT_TITLE) -> str:
@@ -163,6 +194,18 @@ class Engine:
             self._replace(name, H.delete_cascade(gone, "message_id", self.table(name))[0])
         self._replace("sessions", self.table("sessions").where(F.col("session_id") != session_id))
 
+    def delete_message(self, message_id: str) -> None:
+        """Deletes a message with its evidence and feedback."""
+        gone = self.spark.createDataFrame([(message_id,)], "message_id string")
+        for name in ("citations", "verdicts", "feedback", "messages"):
+            self._replace(name, H.delete_cascade(gone, "message_id", self.table(name))[0])
+
+    def sessions(self, limit: int = 50) -> DataFrame:
+        """Sessions with their number of messages, also those without any, the latest touched first."""
+        touched = self.table("messages").groupBy("session_id").agg(F.max("created_at").alias("touched"))
+        rows = H.with_empty(self.table("sessions").where("not deleted"), self.table("messages")).join(touched, "session_id", "left")
+        return rows.withColumn("touched", F.coalesce("touched", "created_at")).orderBy(F.col("touched").desc(), "session_id").limit(limit)
+
     def messages(self, session_id: str) -> DataFrame:
         """The messages of a session with citations and verdicts, in order."""
         return H.with_evidence(self.table("messages").where(F.col("session_id") == session_id), self.table("citations"), self.table("verdicts")).orderBy("seq")

@@ -78,6 +78,22 @@ def calibration(cases: DataFrame) -> DataFrame:
     return row.select(F.round("low", 7).alias("in_corpus_min"), F.round("mid", 7).alias("in_corpus_median"), F.round("high", 7).alias("out_of_corpus_max"), F.round(F.col("low") - F.col("high"), 7).alias("separation"), F.round((F.col("low") + F.col("high")) / 2, 7).alias("suggested_threshold"))
 
 
+def require_gold(found: DataFrame) -> None:
+    """Raises ValueError if a phrase of ``gold_in_corpus`` occurs nowhere."""
+    broken = [r.item_id for r in found.where("n_units = 0").select("item_id").orderBy("item_id").limit(10).collect()]
+    if broken:
+        raise ValueError(f"gold phrases that occur nowhere: {', '.join(map(str, broken))}")
+
+
+def report(cases: DataFrame) -> DataFrame:
+    """name, value: ranking, answer and refusal metrics of ``cases``, one row each."""
+    out = None
+    for part in (ranking_metrics(cases), answer_metrics(cases), refusal_metrics(cases), calibration(cases)):
+        rows = part.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in part.columns))))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def gold_in_corpus(gold: DataFrame, units: DataFrame, batch: int = 500) -> DataFrame:
     """item_id, n_units: in how many units each gold phrase (item_id, phrase) occurs, 0 for broken labels.
 
@@ -95,4 +111,4 @@ def gold_in_corpus(gold: DataFrame, units: DataFrame, batch: int = 500) -> DataF
     return out
 
 
-__all__ = ["answer_metrics", "calibration", "contains_phrase", "gold_in_corpus", "hit_at", "latency_metrics", "ndcg_at", "precision_at", "ranking_metrics", "reciprocal_rank", "refusal_metrics"]
+__all__ = ["answer_metrics", "calibration", "contains_phrase", "gold_in_corpus", "hit_at", "latency_metrics", "ndcg_at", "precision_at", "ranking_metrics", "reciprocal_rank", "refusal_metrics", "report", "require_gold"]

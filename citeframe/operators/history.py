@@ -24,6 +24,13 @@ def sessions(messages: DataFrame, title_chars: int = 60) -> DataFrame:
     return rows.select("session_id", short.alias("title"), "n_messages", "last_seq")
 
 
+def with_empty(known: DataFrame, messages: DataFrame) -> DataFrame:
+    """All ``known`` sessions (session_id and others) with n_messages and last_seq, 0 for those without messages."""
+    counts = messages.groupBy("session_id").agg(F.count("*").alias("n_messages"), F.max("seq").alias("last_seq"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return known.join(counts, "session_id", "left").select(*known.columns, zero("n_messages"), zero("last_seq"))
+
+
 def recent_sessions(found: DataFrame, limit: int = 50) -> DataFrame:
     """The sessions touched last."""
     return found.orderBy(F.col("last_seq").desc(), "session_id").limit(limit)
@@ -74,6 +81,12 @@ def delete_cascade(gone: DataFrame, key: str, *tables: DataFrame) -> list[DataFr
     return [t.join(gone.select(key).distinct(), key, "left_anti") for t in tables]
 
 
+def with_paths(cited: DataFrame, registry: DataFrame, folder: str) -> DataFrame:
+    """``cited`` with the path of its document: that of ``registry`` (doc_id, path), else a file named by the id in ``folder``."""
+    paths = registry.groupBy("doc_id").agg(F.min("path").alias("path"))
+    return cited.join(paths, "doc_id", "left").withColumn("path", F.coalesce("path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("doc_id").cast("string"))))
+
+
 def with_evidence(messages: DataFrame, cited: DataFrame, judged: DataFrame) -> DataFrame:
     """Messages (message_id) with their citations and verdicts as arrays."""
     c = cited.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct(*[x for x in cited.columns if x != "message_id"]))).alias("citations"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from citeframe.functions import constants as K
 from citeframe.functions.sentences import split_sentences
-from citeframe.functions.text import page_range, tokens, topic_name, without, word_count
+from citeframe.functions.text import locator, page_range, tokens, topic_name, without, word_count
+
+from .verify import window_in
 
 BLANK = "______"
 
@@ -118,6 +120,19 @@ def flashcards(units: DataFrame, *keys: str) -> DataFrame:
     return cards.unionByName(own)
 
 
+def locate(claims: DataFrame, chunks: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, chunk_id, doc_id, page_no, first_line, last_line, score, locator: where each claim (keys, claim, and chunk_id for each chunk that may hold it) is best supported; of equal scores the smallest chunk id."""
+    places = chunks.select("chunk_id", "doc_id", "page_no", "line_start", "line_end").join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    met = places.join(lines, ["doc_id", "page_no"]).where(F.col("line_no").between(F.col("line_start"), F.col("line_end")))
+    held = met.groupBy("chunk_id", "doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("held"))  # a page at most
+    rows = claims.select(*keys, "claim", "chunk_id").join(held, "chunk_id").withColumn("w", window_in("claim", F.transform("held", lambda r: r["text"])))
+    number = lambda i: F.get("held", i)["line_no"]
+    rows = rows.select(*keys, "chunk_id", "doc_id", "page_no", number(F.col("w.first")).alias("first_line"), number(F.col("w.last")).alias("last_line"), F.col("w.score").alias("score"))
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "chunk_id")
+    best = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return best.withColumn("locator", locator(F.col("page_no"), F.col("first_line"), F.col("last_line")))
+
+
 def quota(found: DataFrame, topics_of: DataFrame, count: int, *keys: str) -> DataFrame:
     """``count`` rows in all, spread over topics (topic, word_count): the same share for each, richest topics first."""
     n = topics_of.agg(F.greatest(F.count("*"), F.lit(1))).scalar()

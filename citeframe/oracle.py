@@ -374,6 +374,9 @@ SQL: dict[str, str] = {
     "index_stats": f"WITH {LINES} SELECT count(*) AS documents, CAST(sum(len(a)) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 4) AS avg_len FROM (SELECT doc_id, len({_tok('text')}) AS n FROM documents) JOIN line_lists USING (doc_id)",
     "vocabulary": f"SELECT DISTINCT word FROM (SELECT unnest({_tok('text')}) AS word FROM documents) WHERE length(word) >= 4",
     "bm25_topk": f"WITH {QUESTIONS}, {UNITS}, {BM25} SELECT query_id, unit_id AS doc_id, score, rank FROM bm25",
+    "answer_metrics": "SELECT round(coalesce(avg(CASE WHEN doc_id % 5 <> 0 THEN (quality = 1)::DOUBLE END), 0), 4) AS answer_accuracy, round(coalesce(avg(CASE WHEN doc_id % 5 <> 0 THEN (toxic = 0)::DOUBLE END), 0), 4) AS citation_precision_1, round(coalesce(avg(CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN (doc_id % 10) / 10.0::DOUBLE END), 0), 4) AS mean_groundedness FROM labels",
+    "sessions_with_empty": "SELECT conv_id AS session_id, count(*) FILTER (role = 'system') AS n_messages, coalesce(max(turn) FILTER (role = 'system'), 0) AS last_seq FROM conversations GROUP BY conv_id",
+    "citation_paths": "SELECT l.doc_id, coalesce(d.path, 'files/' || l.doc_id) AS path FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS path FROM documents WHERE lang = 'en' GROUP BY doc_id) d USING (doc_id)",
     "hash_features": f"WITH {UNITS}, {_hashed('uh', 'unit_id', 'units', 'text')} SELECT unit_id AS doc_id, bucket, tf, sign FROM uh",
     "hash_idf": f"WITH {QUESTIONS}, {UNITS}, {COSINE} SELECT bucket, df, round(idf, 6) AS idf FROM hidf",
     "hash_cosine_topk": f"WITH {QUESTIONS}, {UNITS}, {COSINE} SELECT query_id, unit_id AS doc_id, score, rank FROM cosine",

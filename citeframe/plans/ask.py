@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeframe.functions import constants as K
@@ -40,29 +41,53 @@ class Index:
     vectors: DataFrame
 
 
+@dataclass
+class Parts:
+    """What retrieval is made of; any part can be replaced by a function of the same form.
+
+    ``dense`` and ``lexical`` rank units for queries: (queries, units, by=, key=, and the stored tables as ``weights``, ``vectors`` or ``postings_of``) -> by, key, score, rank. ``reranker``: (pool, key) -> pool with score and rerank. ``expand``: queries (query_id, text) -> further variants (query_id, text), a model's for instance.
+    """
+
+    dense: Callable[..., DataFrame] = hash_cosine_top_k
+    lexical: Callable[..., DataFrame] = bm25_top_k
+    reranker: Callable[[DataFrame, str], DataFrame] = rerank
+    expand: Callable[[DataFrame], DataFrame] | None = None
+
+
+def more_variants(asked: DataFrame, further: DataFrame, most: int = K.MAX_VARIANTS) -> DataFrame:
+    """``asked`` (query_id, variant_no, text) followed by ``further`` texts (query_id, text) that are not among them, ``most`` more for each question."""
+    fresh = further.where("trim(text) <> ''").select("query_id", "text").distinct().join(asked.select("query_id", "text"), ["query_id", "text"], "left_anti")
+    last = asked.groupBy("query_id").agg(F.max("variant_no").alias("last"))
+    rows = fresh.join(last, "query_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))).where(F.col("n") <= most)
+    return asked.unionByName(rows.select("query_id", (F.col("last") + F.col("n")).alias("variant_no"), "text"))
+
+
 def chunk_units(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.concat_ws(" ", "section", "text").alias("text"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, spelling: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, spelling: DataFrame | None = None, index: Index | None = None, parts: Parts | None = None) -> DataFrame:
     """The sources of each question: query_id, question, position, chunk columns, score."""
     asked = variants(queries.select("query_id", F.col("question").alias("text")), spelling)
+    parts = parts or Parts()
+    if parts.expand is not None:
+        asked = stored(more_variants(asked, parts.expand(queries.select("query_id", F.col("question").alias("text")))))
     by = ["query_id", "variant_no"]
     units = chunk_units(chunks)
-    dense = hash_cosine_top_k(asked, units, by=by, key="chunk_id", weights=index and index.weights, vectors=index and index.vectors)
-    fused = fuse(dense, bm25_top_k(asked, units, by=by, key="chunk_id", postings_of=index and index.postings), by, "chunk_id")
+    dense = parts.dense(asked, units, by=by, key="chunk_id", weights=index and index.weights, vectors=index and index.vectors)
+    fused = fuse(dense, parts.lexical(asked, units, by=by, key="chunk_id", postings_of=index and index.postings), by, "chunk_id")
     merged = merge_variants(fused, "chunk_id")
     if allowed is not None:
         merged = merged.join(chunks.select("chunk_id", "doc_id").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
     pool = candidates(merged, final, key="chunk_id").join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
-    return drop_overlaps(rerank(pool, "chunk_id"), final).select("query_id", "question", "position", "chunk_id", "doc_id", "page_no", "line_start", "line_end", "section", "text", "score")
+    return drop_overlaps(parts.reranker(pool, "chunk_id"), final).select("query_id", "question", "position", "chunk_id", "doc_id", "page_no", "line_start", "line_end", "section", "text", "score")
 
 
-def ask(queries: DataFrame, docs: DataFrame | None, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, chunks: DataFrame | None = None, lines: DataFrame | None = None, index: Index | None = None, spelling: DataFrame | None = None) -> Asked:
+def ask(queries: DataFrame, docs: DataFrame | None, final: int = K.TOP_FINAL, allowed: DataFrame | None = None, chunks: DataFrame | None = None, lines: DataFrame | None = None, index: Index | None = None, spelling: DataFrame | None = None, parts: Parts | None = None) -> Asked:
     """Answers queries (query_id, question) from documents (doc_id, text)."""
     chunks = stored(chunks_of(docs)) if chunks is None else chunks
     lines = lines_of(docs) if lines is None else lines
-    sources = stored(retrieve(queries, chunks, final, allowed, spelling, index))  # a few rows for each question, read by every later step
+    sources = stored(retrieve(queries, chunks, final, allowed, spelling, index, parts))  # a few rows for each question, read by every later step
     gate = stored(A.refusal(queries, sources))
     open_ = sources.join(gate.where("not refused").select("query_id"), "query_id", "left_semi")
     terms = variants(queries.select("query_id", F.col("question").alias("text"))).select("query_id", F.explode(without(tokens(F.col("text")), K.ANSWER_STOP, 1)).alias("t")).groupBy("query_id").agg(F.sort_array(F.collect_set("t")).alias("expanded"))

@@ -29,12 +29,27 @@ def test_engine(spark, tmp_path):
     e.rate(kept[1].message_id, -1, "second")
     assert [(r.rating, r.note) for r in e.table("feedback").collect()] == [(-1, "second")]
     assert e.search("football").first().message_id
+    told = e.explain(spark.createDataFrame([(1, "the security deposit")], "query_id bigint, topic string"), "exam", documents=[lease]).first()
+    assert "2,91,000" in told.answer and told.intent == "lookup"
+    with pytest.raises(ValueError):
+        e.explain(spark.createDataFrame([(1, "rent")], "query_id bigint, topic string"), "poem")
+    empty = e.open_session("empty")
+    assert {(r.session_id, r.n_messages) for r in e.sessions().collect()} == {(session, 8), (empty, 0)}
+    e.delete_message(kept[7].message_id)
+    assert [m.seq for m in e.messages(session).collect()] == list(range(1, 8))
+    e.delete_session(empty)
     e.delete_session(session)
     assert e.stats()["messages"] == e.stats()["sessions"] == e.table("citations").count() == e.table("feedback").count() == 0
     pack = e.study_pack([lease])
     assert pack["topics"].count() >= 1 and pack["flashcards"].count() >= 1
+    made = {r.kind: r for r in pack["stats"].collect()}
+    assert all(r.made == r.kept + r.rejected for r in made.values())
+    for r in pack["short_answers"].collect():
+        assert r.doc_id == lease and r.locator.startswith("p.1 L") and r.score >= 0.5
     e.delete(lease)
     assert e.stats()["registry"] == 1 and e.latest_document() is not None
+    e.reset()
+    assert e.stats()["registry"] == e.stats()["chunks"] == 0 and e.latest_document() is None
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -10,7 +10,7 @@ from citeframe.operators import study as S
 from citeframe.operators import understand as U
 from citeframe.operators import verify as V
 from citeframe.operators.chunking import chunks_of
-from citeframe.plans.ask import ask
+from citeframe.plans.ask import Parts, ask
 from citeframe.sources import lines as L
 
 LEASE = "\n".join(
@@ -282,3 +282,56 @@ def test_streaming_ingest(spark, tmp_path):
     ingest(document_stream(spark, folder), target, str(tmp_path / "ck")).awaitTermination()
     assert n > 0 and spark.read.parquet(f"{target}/chunks").count() == n
     assert {r.doc_id for r in spark.read.schema("doc_id bigint").parquet(f"{target}/registry").collect()} == {1, 3}
+
+
+def test_parts_can_be_replaced(spark, docs):
+    """A model's variants find what the question's own words do not; a reranker may turn the order round."""
+    q = spark.createDataFrame([(1, "Which caution money is kept?")], "query_id bigint, question string")
+
+    def backwards(pool, key):
+        found = R.rerank(pool, key)
+        return found.withColumn("rerank", (F.lit(100) - F.col("rerank")).cast("int"))
+
+    parts = Parts(expand=lambda asked: asked.select("query_id", F.lit("refundable security deposit held by the Landlord").alias("text")))
+    assert ask(q, docs, parts=parts).sources.where("doc_id = 1").count() > 0
+    assert ask(q, docs, parts=Parts(reranker=backwards)).sources.count() == 0  # none is among the first
+
+
+def test_hashed_rows_by_hand(spark):
+    import hashlib
+
+    text = "Rent deposits rent"
+    features = ["rent", "deposits", "rent", "rent_deposits", "deposits_rent", "#depo", "#epos", "#posi", "#osit", "#sits"]
+    wanted = {}
+    for f in features:
+        digest = hashlib.md5(f.encode()).hexdigest()
+        b = int(digest[:15], 16) % 384
+        wanted[b] = (wanted.get(b, (0,))[0] + 1, 1 if digest[15] in "02468ace" else -1)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {r.doc_id: {t.bucket: (t.tf, t.sign) for t in r.terms} for r in I.hashed(df, ["doc_id"]).collect()}
+    assert got == {1: wanted, 2: {}, 3: {}}
+    assert I.hashed(df.where("false"), ["doc_id"]).count() == 0
+
+
+def test_blocks_of_queries_agree(spark, docs):
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["monthly rent", "normal form", "deposit", ""])], "query_id bigint, text string")
+    whole, parts = (sorted(map(tuple, I.hash_cosine_top_k(q, docs, k=2, block_rows=n).collect())) for n in (4096, 1))
+    assert whole == parts and {r[0] for r in whole} == {0, 1, 2}
+
+
+def test_report_and_strict_gold(spark, docs):
+    cases = spark.createDataFrame([("in_corpus", [False, True], True, True, 0.8, False, False, 0.9)], "category string, relevance array<boolean>, answer_hit boolean, citation_correct boolean, groundedness double, refused boolean, flagged boolean, best_score double")
+    got = {r["name"]: r.value for r in E.report(cases).collect()}
+    assert got["mrr"] == 0.5 and got["answer_accuracy"] == 1 and got["false_refusal_rate"] == 0 and got["in_corpus_min"] == 0.9
+    gold = spark.createDataFrame([(1, "monthly rent"), (2, "no such phrase")], "item_id bigint, phrase string")
+    with pytest.raises(ValueError, match="2"):
+        E.require_gold(E.gold_in_corpus(gold, docs))
+    E.require_gold(E.gold_in_corpus(gold.where("item_id = 1"), docs))
+
+
+def test_locate_takes_the_best_chunk(spark, docs):
+    chunks = chunks_of(docs.where("doc_id < 3"), 20, 0, 5)
+    claim = "Either party may terminate this lease by giving two months written notice."
+    claims = chunks.select(F.lit(7).alias("item"), F.lit(claim).alias("claim"), "chunk_id")
+    r = S.locate(claims, chunks, L.lines_of(docs), "item").collect()
+    assert len(r) == 1 and r[0].doc_id == 1 and r[0].first_line <= 6 <= r[0].last_line and r[0].score > 0.9

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from citeframe.functions import constants as K
 from citeframe.functions.sentences import split_sentences
 from citeframe.functions.text import locator, page_range, tokens, topic_name, without, word_count
+from citeframe.session import stored
 
-from .verify import window_in
+from .verify import bound_in, window_in
 
 BLANK = "______"
 
@@ -42,11 +43,13 @@ def key_terms(units: DataFrame, key: str = "doc_id", limit: int = 8) -> DataFram
 
 
 def salient(sentence: Column) -> Column:
-    """The first fact worth asking for: struct(kind, answer), null if there is none."""
-    cases = []
+    """The first fact worth asking for: struct(kind, answer), null if there is none. A pattern is tried only where a sentence has what all its matches have (``K.FACT_SIGNS``)."""
+    cases, low = [], F.lower(sentence)
     for kind, pattern in K.FACTS:
         value = F.trim(F.regexp_extract(sentence, pattern, 0))
-        cases.append(F.when(F.length(value) >= 2, F.struct(F.lit(kind).alias("kind"), value.alias("answer"))))
+        signs = [F.contains(low, F.lit(x)) for x in K.FACT_SIGNS[kind]]
+        may = reduce(lambda a, b: a | b, signs) if signs else sentence.rlike("[0-9]")
+        cases.append(F.when(may & (F.length(value) >= 2), F.struct(F.lit(kind).alias("kind"), value.alias("answer"))))
     return F.coalesce(*cases)
 
 
@@ -121,15 +124,29 @@ def flashcards(units: DataFrame, *keys: str) -> DataFrame:
 
 
 def locate(claims: DataFrame, chunks: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, chunk_id, doc_id, page_no, first_line, last_line, score, locator: where each claim (keys, claim, and chunk_id for each chunk that may hold it) is best supported; of equal scores the smallest chunk id."""
+    """keys, chunk_id, doc_id, page_no, first_line, last_line, score, locator: where each claim (keys, claim, and chunk_id for each chunk that may hold it) is best supported; of equal scores the smallest chunk id.
+
+    Each claim's most promising chunk is searched first; of the others only those whose terms and numbers could score as high, since a window cannot score above its chunk's bound.
+    """
     places = chunks.select("chunk_id", "doc_id", "page_no", "line_start", "line_end").join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi")
     met = places.join(lines, ["doc_id", "page_no"]).where(F.col("line_no").between(F.col("line_start"), F.col("line_end")))
-    held = met.groupBy("chunk_id", "doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("held"))  # a page at most
-    rows = claims.select(*keys, "claim", "chunk_id").join(held, "chunk_id").withColumn("w", window_in("claim", F.transform("held", lambda r: r["text"])))
+    held = stored(met.groupBy("chunk_id", "doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("held")))  # a page at most
+    texts = F.transform("held", lambda r: r["text"])
+    rows = claims.select(*keys, "claim", "chunk_id").join(held, "chunk_id").withColumn("bound", bound_in("claim", texts))
+    order = Window.partitionBy(*keys).orderBy(F.col("bound").desc(), "chunk_id")
+    bounds = stored(rows.select(*keys, "claim", "chunk_id", "bound").withColumn("n", F.row_number().over(order)))
     number = lambda i: F.get("held", i)["line_no"]
-    rows = rows.select(*keys, "chunk_id", "doc_id", "page_no", number(F.col("w.first")).alias("first_line"), number(F.col("w.last")).alias("last_line"), F.col("w.score").alias("score"))
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        found = pairs.select(*keys, "claim", "chunk_id").join(held, "chunk_id").withColumn("w", window_in("claim", texts))
+        return found.select(*keys, "chunk_id", "doc_id", "page_no", number(F.col("w.first")).alias("first_line"), number(F.col("w.last")).alias("last_line"), F.col("w.score").alias("score"))
+
+    first = stored(searched(bounds.where("n = 1")))
+    reached = first.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("score").alias("reached"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rest = bounds.where("n > 1").join(reached, same).where(F.col("bound") >= F.col("reached") - 1e-4)
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "chunk_id")
-    best = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    best = first.unionByName(searched(rest)).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
     return best.withColumn("locator", locator(F.col("page_no"), F.col("first_line"), F.col("last_line")))
 
 

@@ -49,6 +49,12 @@ def window_in(claim: pd.Series, lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_window(c or "", [x or "" for x in ls]) for c, ls in zip(claim, lines, strict=True)], columns=["score", "first", "last"])
 
 
+@F.pandas_udf(T.DoubleType())
+def bound_in(claim: pd.Series, lines: pd.Series) -> pd.Series:
+    """What the score of ``window_in`` cannot exceed: the bound of all lines together, whose terms and numbers no run of them exceeds."""
+    return pd.Series([Claim(c or "").bound(" ".join(x or "" for x in ls)) for c, ls in zip(claim, lines, strict=True)], dtype="float64")
+
+
 def source_lines(sources: DataFrame, lines: DataFrame) -> DataFrame:
     """query_id, position, lines: the lines of each source, a range join on (doc_id, page_no) with line_no within the source."""
     at = F.col("line_no").between(F.col("line_start"), F.col("line_end"))

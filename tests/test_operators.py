@@ -370,3 +370,31 @@ def test_ask_shuffles_no_chunk_and_no_line(spark, docs, monkeypatch):
     import os
 
     assert dropped and not any(os.path.exists(f.removeprefix("file://")) for f in dropped)
+
+
+def test_locate_searches_promising_chunks_only(spark, monkeypatch):
+    """A claim that one chunk holds is not searched in chunks that cannot score as high, whose bounds hold for every window."""
+    from citeframe.functions.fuzzy import Claim, best_window
+
+    docs = spark.createDataFrame([(1, "\n".join(f"Clause {i} says words{i} about matter{i} and other{i} things." for i in range(400)) + "\nThe deposit is 4,500 rupees and is due within 30 days.")], "doc_id bigint, text string")
+    chunks = chunks_of(docs)
+    claims = chunks.selectExpr("1 as item", "'The deposit is 4,500 rupees and is due within 30 days.' as claim", "chunk_id")
+    pairs, searched = claims.count(), []
+    monkeypatch.setattr(S, "stored", lambda df, f=S.stored: (searched.append(df), f(df))[1])
+    r = S.locate(claims, chunks, L.lines_of(docs), "item").collect()
+    bounds = next(d for d in searched if "bound" in d.columns).collect()
+    first = next(d for d in searched if "score" in d.columns).first()
+    assert len(r) == 1 and r[0].score == 1.0 and len(bounds) == pairs > 10
+    assert sum(b.bound >= first.score - 1e-4 for b in bounds) == 1
+    lines = [x.text for x in L.lines_of(docs).limit(40).collect()]
+    for claim in (lines[3], "Clause 7 says 9 things", "nothing", ""):
+        assert best_window(claim, lines)[0] <= Claim(claim).bound(" ".join(lines))
+
+
+def test_fact_signs_hide_no_fact(spark):
+    from citeframe.functions import constants as K
+
+    texts = ["Rs ,", "rs. 5", "INR12", "$ 4", "₹7 00", "five PER  CENT", "20%", "ten percent", "5 MAY 2020", "May 2020", "two (2) Weeks", "3 hours", "one day", "in 42", "x", "7", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.when(F.length(F.trim(F.regexp_extract("t", p, 0))) >= 2, F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract("t", p, 0)).alias("answer"))) for k, p in K.FACTS])
+    assert df.where(~S.salient(F.col("t")).eqNullSafe(plain)).count() == 0

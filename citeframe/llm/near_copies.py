@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,9 @@ REACH_LONG = 360
 #: Rows of a cell that a task holds at once; pairs between the parts of larger cells are found by a join.
 CROWD = 4096
 ROUNDS = 3
+#: Tables whose cells are shuffled at once, and 64-bit words of a filter of row keys at most (8 MB).
+PASS = 16
+MARKS = 1 << 20
 #: Pairs between components in cells, for each row of a cell, that are listed.
 LISTED = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -95,23 +98,41 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return in_batches(rows.select("row_key", "doc_id", "text"), run, f"row_key binary, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n int, print binary")
 
 
-def once(rows: DataFrame, keys: DataFrame, repeated: DataFrame) -> DataFrame:
-    """One row of each of ``keys`` (row_key). Only rows of the ``repeated`` keys, equal rows, are grouped, so the other rows' texts are not shuffled for that."""
-    one = rows.join(repeated, "row_key", "left_anti").join(keys, "row_key", "left_semi")
-    several = rows.join(repeated, "row_key", "left_semi").join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])
-    return one.unionByName(several)
+def marks(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the row_keys of ``keys``: 16 bits for each, of which four of one 64-bit word are set, but ``MARKS`` words at most; beyond that more other keys pass, and none of these is lost."""
+    hashed = keys.select(F.xxhash64("row_key").alias("h"))
+    size = min(MARKS, 1 + hashed.count() // 4)
+    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {6 * i}) & 63 as int))") for i in range(4)]
+    mask = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+    found = hashed.select(F.pmod(F.shiftrightunsigned("h", 24), F.lit(size)).cast("int").alias("at"), mask.alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found["at"].to_numpy()] = found["mask"].to_numpy()
+    return out
 
 
-def placed(nodes: DataFrame, tables: np.ndarray) -> DataFrame:
-    """cell, node, n and word (the first of the fingerprint) for each table."""
+def marked(marks: np.ndarray) -> Column:
+    """Whether row_key is among those of ``marks``, or one of the few others that pass. Only the key's hash goes to Python, and no row is shuffled."""
+
+    def run(h: pa.Array) -> pa.Array:
+        h = h.to_numpy(zero_copy_only=False).view(np.uint64)
+        mask = np.zeros(len(h), np.uint64)
+        for i in range(4):
+            mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+        return pa.array(marks.view(np.uint64)[(h >> np.uint64(24)) % np.uint64(len(marks))] & mask == mask)
+
+    return F.arrow_udf(run, "boolean")(F.xxhash64("row_key"))
+
+
+def placed(nodes: DataFrame, tables: np.ndarray, start: int = 0) -> DataFrame:
+    """cell, node, n and word (the first of the fingerprint) for each table; ``start``: the number of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WORDS * 8)
                 bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-                cells = np.tile(np.arange(len(tables), dtype=np.int64) << 40, (len(raw), 1))
+                cells = np.tile(np.arange(start, start + len(tables), dtype=np.int64) << 40, (len(raw), 1))
                 for b in range(tables.shape[1]):
                     cells |= bits[:, tables[:, b]] << b
                 word = raw[:, :8].copy().view(np.int64).ravel()
@@ -220,16 +241,31 @@ def crossing(labelled: DataFrame, prints: DataFrame, tables: np.ndarray, crowd:
     return calm.union(distances(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), prints, REACH_LONG)).dropDuplicates(["u", "v"])
 
 
+def long_prints(rows: DataFrame) -> DataFrame:
+    """node and the long fingerprint of each row with a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t or "") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in sets], pa.int64()), pa.array([fingerprint(f, LONG) for f in sets], pa.binary())], ["node", "print"])
+
+    return in_batches(rows.select("text"), run, "node bigint, print binary")
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """node, shingles and the long fingerprint of each row with a text."""
+    """node and shingles of each row with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t or "") for t in batch.column(0).to_pylist()]
-            arrays = [pa.array([_node(f) for f in sets], pa.int64()), _lists(sets), pa.array([fingerprint(f, LONG) for f in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in sets], pa.int64()), _lists(sets)], ["node", "shingles"])
 
-    return in_batches(rows.select("text"), run, "node bigint, shingles array<int>, print binary")
+    return in_batches(rows.select("text"), run, "node bigint, shingles array<int>")
+
+
+def of_nodes(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose texts the ``wanted`` nodes come from (all of equal rows), and a few others: nothing is shuffled but keys."""
+    return rows.where(marked(marks(wanted.join(nodes.select("node", "row_key"), "node"))))
 
 
 def _likely(a: str, b: str) -> Column:
@@ -244,11 +280,16 @@ def _nearest(pairs: DataFrame, one: str = "u", two: str = "v") -> DataFrame:
     return pairs.groupBy(one).agg(best).select("p.u", "p.v").union(pairs.groupBy(two).agg(best).select("p.u", "p.v")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` (u, v) whose Jaccard similarity is 4/5 or more; ``sets``: node and shingles."""
-    sets = sets.select("node", "shingles")
-    met = pairs.distinct().join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    return met.where(9 * F.size(F.array_intersect("su", "sv")) >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (u, v) whose Jaccard similarity is 4/5 or more. Shingle sets are made of the pairs' nodes only, and shuffled without being stored."""
+    pairs = written(pairs.select("u", "v").distinct())
+    if pairs.isEmpty():
+        return pairs
+    sets = shingle_sets(of_nodes(rows, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())).dropDuplicates(["node"])
+    met = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    found = written(met.where(9 * F.size(F.array_intersect("su", "sv")) >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"))
+    forget(pairs)
+    return found
 
 
 def distances(pairs: DataFrame, prints: DataFrame, reach: int) -> DataFrame:
@@ -272,14 +313,14 @@ def _towards_main(labelled: DataFrame, open_cells: DataFrame, prints: DataFrame,
     return distances(met, prints, REACH_LONG).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")).select("u", "v")
 
 
-def links(rows: DataFrame, nodes: DataFrame, repeated: DataFrame, tables: np.ndarray, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """Links (u, v) that connect every group; ``rows``: row_key and text, ``nodes``: node, row_key of one row, n and print, ``repeated``: as in ``once``."""
-    held = written(members(placed(nodes, tables), crowd))
-    needed = written(held.select("node").distinct().join(nodes.select("node", "row_key"), "node").select("row_key"))
-    sets = written(shingle_sets(once(rows.select("row_key", "text"), needed, repeated)))
-    long = sets.select("node", "print")
+def links(rows: DataFrame, nodes: DataFrame, tables: np.ndarray, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) that connect every group; ``rows``: row_key and text, ``nodes``: node, row_key of one row, n and print."""
+    parts = [written(members(placed(nodes, tables[k : k + PASS], k), crowd)) for k in range(0, len(tables), PASS)]
+    held = written(reduce(DataFrame.union, parts))
+    forget(*parts)
+    long = written(long_prints(of_nodes(rows, nodes, held.select("node").distinct())).dropDuplicates(["node"]))
     first = distances(held.where("best is not null").select(F.greatest("node", "best").alias("u"), F.least("node", "best").alias("v")), long, REACH_LONG)
-    found = written(verified(_nearest(first), sets))
+    found = verified(_nearest(first), rows, nodes)
     n_held, before_apart = held.count(), math.inf
     for k in range(rounds + 1):
         labelled = written(held.join(components(found).toDF("node", "root"), "node", "left").select("cell", "node", "n", "word", F.coalesce("root", "node").alias("root")))
@@ -289,28 +330,30 @@ def links(rows: DataFrame, nodes: DataFrame, repeated: DataFrame, tables: np.nda
         if k == rounds or n_apart <= LISTED * n_held or n_apart > 0.7 * before_apart:
             forget(open_cells)
             break
-        before, found = found, written(found.union(verified(_towards_main(labelled, open_cells, long, k), sets)))
-        forget(before, labelled, open_cells)
+        more = verified(_towards_main(labelled, open_cells, long, k), rows, nodes)
+        before, found = found, written(found.union(more))
+        forget(before, more, labelled, open_cells)
         before_apart = n_apart
-    before, found = found, written(found.union(verified(crossing(labelled, long, tables, crowd), sets)))
-    forget(before, labelled, held, needed, sets)
+    more = verified(crossing(labelled, long, tables, crowd), rows, nodes)
+    before, found = found, written(found.union(more))
+    forget(before, more, labelled, held, long)
     return found
 
 
 def _representatives(rows: DataFrame, crowd: int, rounds: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """The row_key of one row of every group, and the row_keys of equal rows."""
+    """The row_key of one row of every group, and all row_keys with the number of their rows."""
     prints = written(fingerprints(rows))
-    repeated = written(prints.groupBy("row_key").agg(F.count("*").alias("times")).where("times > 1").select("row_key"))
+    keys = written(prints.groupBy("row_key").agg(F.count("*").alias("times")))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     nodes = written(prints.groupBy("node").agg(F.min_by(F.struct("row_key", "doc_id"), order).alias("best"), F.min("n").alias("n"), F.min("print").alias("print")).select("node", "best.row_key", "best.doc_id", "n", "print"))
     tables = plan(prints.count(), recall)
     forget(prints)
-    linked = links(rows, nodes, repeated, tables, crowd, rounds)
+    linked = links(rows, nodes, tables, crowd, rounds)
     roots = components(linked).withColumnRenamed("u", "node")
     grouped = nodes.select("node", "row_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = written(grouped.groupBy("root").agg(F.min_by("row_key", order).alias("row_key")).select("row_key"))
     forget(nodes, linked)
-    return keep, repeated
+    return keep, keys
 
 
 def representatives(rows: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
@@ -319,5 +362,7 @@ def representatives(rows: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS, r
 
 
 def deduplicated(rows: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
-    """One of ``rows`` (row_key, equal only for equal rows, doc_id, text and others) for each of ``representatives``."""
-    return once(rows, *_representatives(rows, crowd, rounds, recall))
+    """One of ``rows`` (row_key, equal only for equal rows, doc_id, text and others) for each of ``representatives``. Rows whose key is surely kept and not repeated stay where they are; the others, most of which go, are grouped by key."""
+    keep, keys = _representatives(rows, crowd, rounds, recall)
+    doubtful = marked(marks(keys.where("times = 1").join(keep, "row_key", "left_anti").select("row_key").union(keys.where("times > 1").select("row_key"))))
+    return rows.where(~doubtful).unionByName(rows.where(doubtful).dropDuplicates(["row_key"]).join(keep, "row_key", "left_semi"))

@@ -82,3 +82,43 @@ def test_large_group(spark):
     docs = corpus_pipeline.keyed(spark.createDataFrame(rows, KIND))
     got = {x.doc_id for x in docs.join(near_copies.representatives(docs), "row_key").collect()}
     assert {0, *range(5000, 5500)} <= got and len(got) <= 505
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles."""
+    context = spark._jsparkSession.sparkContext()
+    context.listenerBus().waitUntilEmpty()
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """As on tables whose keys are too many to send everywhere."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    yield
+    spark.conf.set(limit, before)
+
+
+def test_texts_stay_in_place(spark, no_broadcasts):
+    """The stage shuffles keys, cells and the texts of rows that may go, not the table's texts; every row that is not a near copy is there once."""
+    r = random.Random(17)
+    texts = [" ".join(f"{r.getrandbits(64):x}" for _ in range(1500)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:10]]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(299, texts[299], "en", "s", 1)] * 3
+    docs = near_copies.written(corpus_pipeline.keyed(spark.createDataFrame(rows, KIND)).drop("row_key"))
+    before = shuffled(spark)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == list(range(300))
+    assert shuffled(spark) - before < sum(map(len, texts)) / 2
+
+
+@pytest.mark.parametrize("most", [near_copies.MARKS, 7])
+def test_marks_lose_no_key(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "MARKS", most)
+    keys = spark.range(4000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("row_key"), "id")
+    there = near_copies.marked(near_copies.marks(keys.where("id < 1000")))
+    assert keys.where(there).where("id < 1000").count() == 1000
+    assert most == 7 or keys.where(there).count() < 1100

@@ -2,7 +2,7 @@
 
 Words and shingle hashes are those of ``simhash`` with five words a shingle, but 32 bits of each are kept, so that of 50,000 pairs about one is taken to share a shingle too many; a text of fewer words is one shingle, texts without words are alike. Texts with equal shingle sets are one node, so exact copies cost nothing.
 
-At that similarity the bits of two SimHash fingerprints differ in 15 of 100 places (acos(8/9) / pi), far beyond the two bits of ``simhash``: no block of useful length is surely equal. The fingerprints here have ``WORDS`` * 64 bits, and the grid has many tables. Each takes its cell from the counts of some segments, drawn at random; the segments are one bit wide, since wider ones prune less for the near pairs they lose (at two bits a segment three times as many tables would be needed). A cell has three bits less than log2 of the number of rows, so that it holds about eight strangers whatever the size of the corpus, and the number of tables follows from ``RECALL``, the chance that a pair at exactly 4/5 meets in one of them; more similar pairs meet more surely (``plan``). Members of a cell are compared by the Manhattan distance of the segment counts of one fingerprint word, a lower bound, and by its Hamming distance (``REACH``: three in 10,000 near pairs differ more); the Jaccard similarity of the whole shingle sets decides.
+At that similarity the bits of two SimHash fingerprints differ in 15 of 100 places (acos(8/9) / pi), far beyond the two bits of ``simhash``: no four of its six blocks are surely equal, and a cell must hold fewer counts in more tables. The steps are those of ``simhash``. The fingerprints, of ``WORDS`` * 64 bits, are mapped to the bit counts of their two-bit segments, 32 in a word (``counts``), and each table of the grid takes its cell from the counts of some segments, drawn at random. A cell has five bits less of information than log2 of the number of rows, so that it holds some tens of strangers whatever the size of the corpus, and the number of tables follows from ``RECALL``, the chance that a pair at exactly 4/5 meets in one of them; more similar pairs meet more surely (``plan``). Within a cell the Manhattan distance of the segment counts of one fingerprint word, a lower bound, prunes and its exact Hamming distance verifies (``REACH``: three in 10,000 near pairs differ more); the Jaccard similarity of the whole shingle sets decides.
 
 Links need only connect the groups. First each node is compared with its nearest candidate, by the distance of long fingerprints. Then, while the cells hold many pairs between different components and it helps, each node is compared with a node of the main component of one of its cells, so that a large group grows together. The candidate pairs left between components are listed once each and compared, whatever their number. So a large group of near copies costs about as many comparisons as it has members, and no candidate is dropped but pairs whose long fingerprints (``LONG`` * 64 bits, of the nodes that have candidates) differ in over ``REACH_LONG`` bits (one in 1,000 pairs at 4/5).
 """
@@ -78,12 +78,20 @@ def fingerprint(found: np.ndarray, words: int = WORDS) -> bytes:
 
 
 def plan(rows: int, recall: float = RECALL) -> np.ndarray:
-    """The segments (bits) of each table, one row a table, for a corpus of ``rows`` rows."""
-    bits = min(40, max(8, math.ceil(math.log2(rows + 1)) - 3))
-    equal = (1 - math.acos(8 / 9) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - equal))
+    """The segments of each table, one row a table, for a corpus of ``rows`` rows.
+
+    Strangers agree in a segment's count at 3/8. Pairs at 4/5 agree where no bit differs, or both do and were unlike; how many of all bits differ varies from pair to pair.
+    """
+    size = min(20, round(max(8, math.log2(rows + 1) - 5) / math.log2(8 / 3)))
+    differ, n = math.acos(8 / 9) / math.pi, WORDS * 64
+    share = np.arange(n + 1) / n
+    weight = np.array([math.comb(n, k) * differ**k * (1 - differ) ** (n - k) for k in range(n + 1)])
+    apart = 1 - ((1 - share) ** 2 + share**2 / 2) ** size
+    tables = 1
+    while weight @ apart**tables > 1 - recall:
+        tables += 1
     random = np.random.default_rng(SEED)
-    return np.array([random.choice(WORDS * 64, bits, replace=False) for _ in range(tables)])
+    return np.array([random.choice(WORDS * 32, size, replace=False) for _ in range(tables)])
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
@@ -123,6 +131,13 @@ def marked(marks: np.ndarray) -> Column:
     return F.arrow_udf(run, "boolean")(F.xxhash64("row_key"))
 
 
+def counts(words: np.ndarray) -> np.ndarray:
+    """The bit counts of the two-bit segments of ``words`` in unary code, as ``simhash.embedded``."""
+    even = np.uint64(0x5555555555555555)
+    low, high = words & even, (words >> np.uint64(1)) & even
+    return low | high | ((low & high) << np.uint64(1))
+
+
 def placed(nodes: DataFrame, tables: np.ndarray, start: int = 0) -> DataFrame:
     """cell, node, n and word (the first of the fingerprint) for each table; ``start``: the number of the first."""
 
@@ -131,10 +146,11 @@ def placed(nodes: DataFrame, tables: np.ndarray, start: int = 0) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WORDS * 8)
-                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                codes = counts(raw.view(np.uint64))
                 cells = np.tile(np.arange(start, start + len(tables), dtype=np.int64) << 40, (len(raw), 1))
                 for b in range(tables.shape[1]):
-                    cells |= bits[:, tables[:, b]] << b
+                    segment = tables[:, b]
+                    cells |= (codes[:, segment // 32] >> (2 * (segment % 32)).astype(np.uint64) & np.uint64(3)).astype(np.int64) << 2 * b
                 word = raw[:, :8].copy().view(np.int64).ravel()
                 again = [np.repeat(x, len(tables)) for x in (part.column(0).to_numpy(), part.column(1).to_numpy(), word)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells.ravel(), *again)], ["cell", "node", "n", "word"])
@@ -142,13 +158,6 @@ def placed(nodes: DataFrame, tables: np.ndarray, start: int = 0) -> DataFrame:
     return in_batches(nodes.select("node", "n", "print"), run, "cell bigint, node bigint, n int, word bigint")
 
 
-def _counts(word: np.ndarray) -> np.ndarray:
-    """As ``simhash.embedded``."""
-    even = np.uint64(0x5555555555555555)
-    low, high = word & even, (word >> np.uint64(1)) & even
-    return low | high | ((low & high) << np.uint64(1))
-
-
 def whole_cells(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
     """From rows in order of their first column, the cell, batches that hold whole cells; a cell of more than ``crowd`` rows comes in parts of about that size, each with no other cell."""
     held = None
@@ -172,7 +181,7 @@ def whole_cells(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Re
 def _pairs(cell: np.ndarray, n: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, other places, Hamming distances of the words) of rows that share a cell and may be near."""
     word, n = word.view(np.uint64), n.astype(np.int64)
-    counts = _counts(word)
+    codes = counts(word)
     left = np.arange(len(cell))
     for d in range(1, len(cell)):
         left = left[left + d < len(cell)]
@@ -181,7 +190,7 @@ def _pairs(cell: np.ndarray, n: np.ndarray, word: np.ndarray) -> Iterator[tuple[
             break
         at = left + d
         apart = np.bitwise_count(word[left] ^ word[at])
-        near = (5 * np.minimum(n[left], n[at]) >= 4 * np.maximum(n[left], n[at])) & (np.bitwise_count(counts[left] ^ counts[at]) <= REACH) & (apart <= REACH)
+        near = (5 * np.minimum(n[left], n[at]) >= 4 * np.maximum(n[left], n[at])) & (np.bitwise_count(codes[left] ^ codes[at]) <= REACH) & (apart <= REACH)
         if near.any():
             yield left[near], at[near], apart[near]
 
@@ -211,9 +220,9 @@ def crossing(labelled: DataFrame, prints: DataFrame, tables: np.ndarray, crowd:
     sizes = labelled.groupBy("cell").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "size")
     open_ = written(labelled.join(sizes, "cell").join(prints, "node").select("cell", "node", "n", "word", "root", "print", "size"))
     masks = np.zeros((len(tables), WORDS), np.uint64)
-    for k, bits in enumerate(tables):
-        for b in bits.tolist():
-            masks[k, b // 64] |= np.uint64(1 << b % 64)
+    for k, segments in enumerate(tables):
+        for b in segments.tolist():
+            masks[k, b // 32] |= np.uint64(3 << 2 * (b % 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_cells(batches, crowd):
@@ -224,10 +233,10 @@ def crossing(labelled: DataFrame, prints: DataFrame, tables: np.ndarray, crowd:
                 a, b = a[apart], b[apart]
                 for start in range(0, len(a), 2048):
                     one, two = a[start : start + 2048], b[start : start + 2048]
-                    differ = long[one] ^ long[two]
-                    far = np.bitwise_count(differ).sum(axis=1, dtype=np.int32)
+                    far = np.bitwise_count(long[one] ^ long[two]).sum(axis=1, dtype=np.int32)
                     near = far <= REACH_LONG
-                    one, two, differ, far = one[near], two[near], differ[near, :WORDS], far[near]
+                    one, two, far = one[near], two[near], far[near]
+                    differ = counts(long[one, :WORDS]) ^ counts(long[two, :WORDS])
                     meet = ((differ[:, None, :] & masks[None, :, :]) == 0).all(axis=2)
                     first = meet.argmax(axis=1) == cell[one] >> 40
                     u, v = node[one[first]], node[two[first]]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,18 @@ def test_marks_lose_no_key(spark, monkeypatch, most):
     there = near_copies.marked(near_copies.marks(keys.where("id < 1000")))
     assert keys.where(there).where("id < 1000").count() == 1000
     assert most == 7 or keys.where(there).count() < 1100
+
+
+def test_cells_are_of_bit_counts(spark):
+    """Fingerprints that differ in every bit but agree in the bit counts of all segments share every cell, as in op7's grid; one more bit parts them where its segment is drawn."""
+    tables = near_copies.plan(10_000)
+    one, two = (np.full(near_copies.WORDS, x, np.uint64) for x in (0x5555555555555555, 0xAAAAAAAAAAAAAAAA))
+    more = one.copy()
+    more[2] |= np.uint64(1 << 11)  # segment 69
+    rows = [(i, 1, bytearray(x.tobytes())) for i, x in enumerate((one, two, more))]
+    nodes = spark.createDataFrame(rows, "node bigint, n int, print binary")
+    cells = {(r.node, r.cell >> 40): r.cell for r in near_copies.placed(nodes, tables).collect()}
+    assert len(cells) == 3 * len(tables)
+    for k, segments in enumerate(tables):
+        assert cells[0, k] == cells[1, k] and (cells[2, k] == cells[0, k]) == (69 not in segments)
+    assert any(69 in s for s in tables)
